@@ -4,21 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lupaspark.llm import simhash
+from lupaspark.llm import bpe, simhash, tokencounts, urlfilter, warc
+from lupaspark.session import table
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: The vocabulary of the queries; the operators take any path.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.attributed(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), with_data=False)
+    return chunks.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(urlfilter.RULES, "host string, path string, verdict string")
+    return urlfilter.judge(pages, rules, urlfilter.listed_urls(pages, urlfilter.UNWANTED))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash,)}
+    return {f.__name__: f for f in (op3_simhash, op7_token_counts, op8_bpe, op9_warc, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
