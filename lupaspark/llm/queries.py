@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lupaspark.llm import bpe, simhash, tokencounts, urlfilter, warc
+from lupaspark.llm import bpe, linededup, simhash, tokencounts, toxicity, urlfilter, warc
 from lupaspark.session import table
 
 #: The vocabulary of the queries; the operators take any path.
@@ -18,6 +19,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document the lines it had, those taken out, and a digest of the text that stays."""
+    docs = linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.coalesce("removed_lines", F.array().cast("array<int>"))
+    return docs.select("doc_id", F.size(F.split("text", "\n")).alias("lines_left"), F.size(removed).alias("n_removed"), removed.alias("removed_lines"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.attributed(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -38,7 +50,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op7_token_counts, op8_bpe, op9_warc, op10_url_filter)}
+    return {f.__name__: f for f in (op3_simhash, op5_toxicity, op6_line_dedup, op7_token_counts, op8_bpe, op9_warc, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
