@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lupaspark.llm import bpe, linededup, simhash, tokencounts, toxicity, urlfilter, warc
+from lupaspark.llm import bpe, decontam, linededup, simhash, tokencounts, toxicity, urlfilter, warc
 from lupaspark.session import table
 
 #: The vocabulary of the queries; the operators take any path.
@@ -19,6 +19,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op5_toxicity, op6_line_dedup, op7_token_counts, op8_bpe, op9_warc, op10_url_filter)}
+    return {f.__name__: f for f in (op3_simhash, op4_decontamination, op5_toxicity, op6_line_dedup, op7_token_counts, op8_bpe, op9_warc, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
