@@ -8,17 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lupaspark.llm import bpe, decontam, linededup, neardup, simhash, tokencounts, toxicity, urlfilter, warc
+from lupaspark.llm import bpe, decontam, lattice, linededup, neardup, simhash, tokencounts, toxicity, urlfilter, warc
 from lupaspark.session import table
 
-#: The vocabulary of the queries; the operators take any path.
+#: The vocabularies of the queries; the operators take any path.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.scored(table(spark, sf_dir, "documents"), lattice.read_scores(PIECES))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_neardup, op3_simhash, op4_decontamination, op5_toxicity, op6_line_dedup, op7_token_counts, op8_bpe, op9_warc, op10_url_filter)}
+    return {f.__name__: f for f in (op1_embedding_neardup, op2_lm_scoring, op3_simhash, op4_decontamination, op5_toxicity, op6_line_dedup, op7_token_counts, op8_bpe, op9_warc, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
