@@ -40,7 +40,7 @@ class CrossPolytope:
 
     def __init__(self, dim: int, parts: int, tables: int = TABLES, probes: int = PROBES) -> None:
         self.dim, self.parts, self.tables, self.probes = dim, parts, tables, probes
-        self.width = 1 << max(1, (dim - 1).bit_length())
+        self.width = 1 << max(2, (dim - 1).bit_length())
         rng = np.random.default_rng(SEED)
         self.signs = rng.choice([-1.0, 1.0], size=(tables, parts, 3, self.width))
 
@@ -124,7 +124,7 @@ def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes:
     spark = reps.sparkSession
     # Vectors of different sizes never link; each size is hashed by itself.
     sizes = [(r[0], r[1]) for r in reps.groupBy(F.size("embedding").alias("d")).count().collect()]
-    parts = {d: max(1, round(math.log(max(n, 2)) / math.log(4 * (1 << max(1, (d - 1).bit_length()))))) for d, n in sizes}
+    parts = {d: max(1, round(math.log(max(n, 2)) / math.log(2 * (1 << max(2, (d - 1).bit_length()))))) for d, n in sizes}
 
     def entries(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = {d: CrossPolytope(d, p, tables, probes) for d, p in parts.items()}
