@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lupaspark.functions import columns as C
 
@@ -173,7 +174,7 @@ def fuzzy_person(left: DataFrame, right: DataFrame, max_edit: int = 1, min_jacca
     return scored.withColumn("_n", F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id"))).where("_n = 1").select("left_id", "right_id", "score")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])

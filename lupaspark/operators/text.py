@@ -9,6 +9,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lupaspark.functions import columns as C
 
@@ -40,9 +41,13 @@ def link_entities(texts: DataFrame, forms: DataFrame, most: int = 8, max_words:
     if not lengths:
         return texts.select("doc_id", F.lit(None).cast(dict(forms.dtypes)["id"]).alias("id"), F.lit("").alias("form"), F.lit(0).alias("first")).limit(0)
     w = texts.select("doc_id", C.tokens(F.col("text")).alias("w"))
+
+    def runs_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+
     runs = None
     for n in sorted(lengths):
-        part = w.where(F.size("w") >= n).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.array_join(F.slice("w", i, n), " "))).alias("first", "form"))
+        part = w.where(F.size("w") >= n).select("doc_id", F.posexplode(runs_of(n)).alias("first", "form"))
         runs = part if runs is None else runs.unionByName(part)
     hits = runs.join(known, "form").groupBy("doc_id", "id").agg(F.max_by("form", F.struct("words", -F.col("first"))).alias("form"), F.min("first").alias("first"))
     return hits.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("first", "id"))).where(F.col("_n") <= most).drop("_n")
@@ -159,7 +164,7 @@ def heads_from_pages(pages: DataFrame, labels: str = r"diretor|secretari|preside
     return out.select("page_id", F.col("line").alias("unit"), "name", C.fold(F.col("line")).rlike("substitut|interin|em exercicio").alias("acting"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def absolute(base: pd.Series, href: pd.Series) -> pd.Series:
     def one(b: str | None, h: str | None) -> str | None:
         try:
