@@ -60,9 +60,9 @@ def containment(names: DataFrame, nodes: DataFrame, min_len: int = 14) -> DataFr
 
     Runs of words are exploded and met by equality, so that no pair of names is compared.
     """
-    words = F.split(C.core_name(F.col("raw")), " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(i, F.size("w")), lambda j: F.array_join(F.slice("w", i, j - i + 1), " "))))
-    probes = names.select("raw", words.alias("w")).select("raw", F.explode(F.array_distinct(runs)).alias("key")).where(F.length("key") >= min_len)
+    runs = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(i, F.size(w)), lambda j: F.array_join(F.slice(w, i, j - i + 1), " "))))
+    every = F.element_at(F.transform(F.array(F.split(C.core_name(F.col("raw")), " ")), runs), 1)
+    probes = names.select("raw", F.explode(F.array_distinct(every)).alias("key")).where(F.length("key") >= min_len)
     keyed = nodes.select(F.col("id"), C.core_name(F.col("name")).alias("key"))
     return probes.join(keyed, "key").groupBy("raw").agg(F.min("id").alias("node"), F.count_distinct("id").alias("n")).where("n = 1").drop("n")
 

@@ -40,14 +40,14 @@ def link_entities(texts: DataFrame, forms: DataFrame, most: int = 8, max_words:
     lengths = [r[0] for r in known.select("words").distinct().collect()]  # at most max_words numbers
     if not lengths:
         return texts.select("doc_id", F.lit(None).cast(dict(forms.dtypes)["id"]).alias("id"), F.lit("").alias("form"), F.lit(0).alias("first")).limit(0)
-    w = texts.select("doc_id", C.tokens(F.col("text")).alias("w"))
-
     def runs_of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+        """Runs of n words; the words are bound once, not made anew for each run."""
+        runs = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
+        return F.element_at(F.transform(F.array(C.tokens(F.col("text"))), runs), 1)
 
     runs = None
     for n in sorted(lengths):
-        part = w.where(F.size("w") >= n).select("doc_id", F.posexplode(runs_of(n)).alias("first", "form"))
+        part = texts.select("doc_id", F.posexplode(runs_of(n)).alias("first", "form"))
         runs = part if runs is None else runs.unionByName(part)
     hits = runs.join(known, "form").groupBy("doc_id", "id").agg(F.max_by("form", F.struct("words", -F.col("first"))).alias("form"), F.min("first").alias("first"))
     return hits.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("first", "id"))).where(F.col("_n") <= most).drop("_n")
