@@ -337,7 +337,7 @@ def n5_inherit(t):
     return G.inherit(posts, t.organs(), ["kind", "ring"]).select("post", "head_of", "kind", "ring")
 
 
-@query('SELECT DISTINCT l_returnflag AS type, l_suppkey AS "from", l_partkey AS "to" FROM lineitem WHERE l_returnflag IN (\'A\', \'R\') AND l_suppkey <= 20 AND l_partkey <= 20')
+@query('SELECT DISTINCT l_returnflag AS type, l_suppkey AS "from", l_partkey AS "to" FROM lineitem WHERE l_returnflag IN (\'A\', \'R\') AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 20) AND l_partkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 20)')
 def n6_subgraph(t):
     e = t.lineitem.select(F.col("l_returnflag").alias("type"), F.col("l_suppkey").alias("from"), F.col("l_partkey").alias("to")).distinct()
     return G.subgraph(e, t.supplier.where("s_suppkey <= 20").select(F.col("s_suppkey").alias("id")), ["A", "R"])
