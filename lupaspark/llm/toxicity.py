@@ -3,31 +3,33 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from heapq import heappush, heappushpop
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lupaspark.llm.common import written
+from lupaspark.llm.simhash import near_duplicates
+
 #: Bounds of what the classifier is fitted on: labelled rows of each label, and terms of the vocabulary.
 MAX_EXAMPLES, MAX_TERMS = 4000, 2000
-#: Least likelihood ratio of a term's association with the labels, and the fewest examples that have it.
+#: Least likelihood ratio of a term's association with label 1, and the fewest examples that have it.
 MIN_RATIO, MIN_EXAMPLES = 16.0, 3
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 64, 4
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 #: Word beginnings count as terms too: inflected forms share them.
 PREFIXES = (4, 5, 6)
 #: Words and term vectors that a Python worker remembers.
-MEMO = 300_000
+MEMO = 500_000
 _TRIM = ".,;:!?\"'()[]{}<>|*#%&-_/\\"
 
 
-def words_of(text: bytes | None) -> Counter:
-    return Counter((text or b"").decode("utf-8", "replace").lower().split())
+def words_of(text: bytes | None) -> list[str]:
+    return (text or b"").decode("utf-8", "replace").lower().split()
 
 
 def terms_of(word: str) -> list[str]:
@@ -92,21 +94,33 @@ class Index:
         if not len(ids) or not self.blocks:
             return []
         bound = w @ self.most[ids]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[0][0] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, x in zip(ids.tolist(), w.tolist(), strict=True):
-                lo, hi = self.at[t, b], self.at[t, b + 1]
-                score[self.who[lo:hi] - b * BLOCK] += x * self.weight[lo:hi]
-            for r in np.flatnonzero(score).tolist():
-                item = (round(float(score[r]), 9), -(b * BLOCK + r))
-                if len(best) < k:
-                    heappush(best, item)
-                else:
-                    heappushpop(best, item)
-        return sorted(best, reverse=True)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        first = order[:FIRST_BLOCKS]
+        best = self._best(ids, w, first, k)
+        least = best[-1][0] if len(best) == k else 0.0
+        rest = order[FIRST_BLOCKS:]
+        rest = rest[bound[rest] >= least - 1e-9]  # no other block can hold one of the k nearest
+        return sorted(best + self._best(ids, w, rest, k), reverse=True)[:k] if len(rest) else best
+
+    def _best(self, ids: np.ndarray, w: np.ndarray, blocks: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The k nearest rows of some blocks."""
+        score = np.zeros(self.blocks * BLOCK)
+        for t, x in zip(ids.tolist(), w.tolist(), strict=True):
+            lo, hi = self.at[t, 0], self.at[t, -1]
+            if hi - lo <= 2 * BLOCK or len(blocks) * 4 >= self.blocks:  # a short list is read whole
+                score[self.who[lo:hi]] += x * self.weight[lo:hi]
+            else:
+                for lo, hi in zip(self.at[t, blocks].tolist(), self.at[t, blocks + 1].tolist(), strict=True):
+                    if hi > lo:
+                        score[self.who[lo:hi]] += x * self.weight[lo:hi]
+        own = score.reshape(self.blocks, BLOCK)[blocks].round(9)
+        flat, rows = own.ravel(), (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        hit = np.flatnonzero(flat)
+        if len(hit) > 4 * k:  # no need to sort those below the k-th
+            hit = hit[flat[hit] >= np.partition(flat[hit], -k)[-k]]
+        top = hit[np.lexsort((rows[hit], -flat[hit]))[:k]]
+        return [(float(flat[i]), -int(rows[i])) for i in top.tolist()]
 
     def vote(self, near: list[tuple[float, int]], without: tuple[int, int] | None = None) -> float:
         """Share of toxic examples, weighted by closeness; without: a row and label of which one example does not vote."""
@@ -150,23 +164,36 @@ class Index:
         return min(1.0, max(0.0, score)), [(self.docs[-r], c, float(self.votes[-r][1] / self.votes[-r].sum())) for c, r in near[:5]]
 
 
-def _counts(words: Counter, terms: dict[str, int], memo: dict[str, tuple]) -> dict[int, int]:
-    out: dict[int, int] = {}
-    for word, n in words.items():
-        hit = memo.get(word)
-        if hit is None:
-            if len(memo) >= MEMO:
-                memo.clear()
-            hit = memo[word] = tuple(terms[t] for t in terms_of(word) if t in terms)
-        for t in hit:
-            out[t] = out.get(t, 0) + n
-    return out
+class Terms:
+    """Counts of the vocabulary's terms in texts. Words met before are remembered, up to MEMO of them, so that a text costs a few set operations."""
+
+    def __init__(self, terms: dict[str, int]) -> None:
+        self.terms, self.met, self.hits = terms, set(), {}
+
+    def counts(self, text: bytes | None) -> dict[int, int]:
+        words = words_of(text)
+        new = {*words} - self.met
+        if new:
+            for word in new:
+                hit = [self.terms[t] for t in terms_of(word) if t in self.terms]
+                if hit:
+                    self.hits[word] = hit
+            if len(self.met) > MEMO:
+                self.met.clear()
+            self.met |= new
+        out: dict[int, int] = {}
+        hits = self.hits
+        for word in words:
+            if word in hits:
+                for t in hits[word]:
+                    out[t] = out.get(t, 0) + 1
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Index:
     """Learns from labelled rows outside the held-out fold: at most MAX_EXAMPLES of each label, by hash of doc_id.
 
-    Terms are words and word beginnings, kept if they go with a label by likelihood ratio over distinct texts; their document
+    Terms are words and word beginnings, kept if they go with label 1 by likelihood ratio over texts that are no near copies of each other; their document
     frequencies are counted over all of docs. Votes are weighted by what each label's sampling left out.
     """
     spark = docs.sparkSession
@@ -174,17 +201,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     sampled = [known.where(f"toxic = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EXAMPLES) for y in (0, 1)]
     picked = spark.createDataFrame([tuple(r) for s in sampled for r in s.collect()], known.schema)  # at most 2 * MAX_EXAMPLES ids
-    texts = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")
+    texts = written(docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id"), "toxicity-sample")
 
     def terms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for at in range(0, b.num_rows, 50):
                 part = b.slice(at, 50)
-                found = [sorted({t for w in words_of(x) for t in terms_of(w)}) for x in part.column(0).to_pylist()]
+                found = [sorted({t for w in {*words_of(x)} for t in terms_of(w)}) for x in part.column(0).to_pylist()]
                 labels = np.repeat(part.column(1).to_numpy(), [len(f) for f in found])
                 yield pa.record_batch([pa.array([t for f in found for t in f], pa.string()), pa.array(labels, pa.int32())], names=["term", "toxic"])
 
-    distinct = texts.groupBy(F.xxhash64("text").alias("h"), F.length("text")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+    # One text of each group of near copies counts: the words of a much copied document are no evidence.
+    firsts = near_duplicates(texts).where("doc_id = component_id").select("doc_id").distinct()
+    distinct = texts.join(firsts, "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")
     by_label = distinct.groupBy("toxic").count().collect()
     n = {0: 0, 1: 0} | {r[0]: r[1] for r in by_label}
     seen = distinct.mapInArrow(terms, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
@@ -197,21 +226,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     ratio = 2 * (
         part(a, with_term * n[1] / total) + part(b, with_term * n[0] / total) + part(n[1] - a, (total - with_term) * n[1] / total) + part(n[0] - b, (total - with_term) * n[0] / total)
     )
-    chosen = [r[0] for r in seen.where(with_term >= MIN_EXAMPLES).withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect()]
+    toxic_side = a * total > with_term * n[1]
+    chosen = [r[0] for r in seen.where((with_term >= MIN_EXAMPLES) & toxic_side).withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect()]
     at = {t: i for i, t in enumerate(chosen)}
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, tuple] = {}
+        known = Terms(at)
         for batch in it:
-            got = [_counts(words_of(x.as_py()), at, memo) for x in batch.column(1)]
+            got = [known.counts(x.as_py()) for x in batch.column(1)]
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([sorted(g) for g in got], pa.list_(pa.int32())), pa.array([[g[t] for t in sorted(g)] for g in got], pa.list_(pa.int32()))], names=["doc_id", "toxic", "t", "n"])
 
     def frequencies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, tuple] = {}
+        known = Terms(at)
         df, docs_seen = np.zeros(len(at) + 1, dtype=np.int64), 0
         for batch in it:
             for x in batch.column(0):
-                df[list(_counts(words_of(x.as_py()), at, memo))] += 1
+                df[list(known.counts(x.as_py()))] += 1
             docs_seen += batch.num_rows
         df[-1] = docs_seen
         used = np.flatnonzero(df)
@@ -239,11 +269,12 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     sent = spark.sparkContext.broadcast(fit(docs, labels))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, words, known = sent.value, {}, {}
+        index, known = sent.value, {}
+        terms = Terms(index.terms)
         for b in it:
             scores, evidence = [], []
             for x in b.column(1):
-                counts = _counts(words_of(x.as_py()), index.terms, words)
+                counts = terms.counts(x.as_py())
                 key = tuple(sorted(counts.items()))
                 got = known.get(key)
                 if got is None:
@@ -261,6 +292,13 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that are not predicted toxic, columns as in docs. Rows without doc_id stay."""
-    gone = scored(docs, labels, threshold).where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that are not predicted toxic, columns as in docs. Each row is judged by its own text, where it lies: nothing is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def toxic(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = sent.value
+        terms = Terms(index.terms)
+        for part in texts:
+            yield pd.Series([index.score(terms.counts(x))[0] >= threshold for x in part])
+
+    return docs.where(~F.pandas_udf(toxic, "boolean", F.PandasUDFType.SCALAR_ITER)(F.col("text").cast("binary")))
