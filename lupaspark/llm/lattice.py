@@ -22,7 +22,7 @@ STOP, RANK_SHIFT = 0.25, 10.0
 #: Share of the byte pieces, rounds in which the weights are fitted to the words of the training texts, and pieces that the weights before them stand for.
 BYTE_SHARE, ROUNDS, PRIOR_PIECES = 1e-4, 2, 100.0
 #: A batch of documents closes at so many distinct words or bytes of text.
-BATCH_WORDS, BATCH_BYTES = 200_000, 16 << 20
+BATCH_WORDS, BATCH_BYTES = 500_000, 32 << 20
 SPACE = "▁"
 
 
@@ -57,7 +57,12 @@ class Lattice:
         on = math.log(1 - stop)
         self.logp = {p: math.log(w / (firsts if p[0] == SPACE else laters) * (1 if p[0] == SPACE else 1 - BYTE_SHARE)) + on for p, w in weight.items() if w > 0}
         self.byte = math.log(BYTE_SHARE / 256) + on
-        self.longest = max(map(len, self.logp))
+        self.trie: dict[str, list] = {}
+        for piece, p in self.logp.items():  # a node is {character: [node, log weight of the piece that ends here]}
+            node = self.trie
+            for c in piece[:-1]:
+                node = node.setdefault(c, [{}, None])[0]
+            node.setdefault(piece[-1], [{}, None])[1] = p
         self.last = math.log(stop) - on
 
     def refitted(self, expected: dict[str, float], words: int) -> Lattice:
@@ -70,43 +75,49 @@ class Lattice:
         out._set(weight, (words + 1) / (max(pieces, words) + 1 / STOP))
         return out
 
-    def _edges(self, text: str) -> tuple[list[float], list[list[tuple[int, float]]]]:
-        """Log chances of each beginning of text, and the pieces (begin, log weight) that end at each place."""
-        get, longest, exp, log = self.logp.get, self.longest, math.exp, math.log
-        alpha, edges = [0.0], [[]]
-        for end in range(1, len(text) + 1):
-            into = []
-            for begin in range(end - longest if end > longest else 0, end):
-                p = get(text[begin:end])
+    def _forward(self, text: str, edges: list[list[tuple[int, float, str]]] | None = None) -> list[float | None]:
+        """Log chances of each beginning of text; edges gets the pieces (begin, log weight, piece) that end at each place."""
+        n, exp, log, trie = len(text), math.exp, math.log1p, self.trie
+        alpha: list[float | None] = [None] * (n + 1)
+        alpha[0] = 0.0
+        for begin in range(n):
+            so_far = alpha[begin]
+            node, end = trie, begin
+            spelled = False
+            while end < n and (step := node.get(text[end])) is not None:
+                end += 1
+                node, p = step
                 if p is not None:
-                    into.append((begin, p))
-            if end > 1 and text[end - 1] not in self.logp:
-                into.append((end - 1, self.byte * len(text[end - 1].encode("utf-8", "replace"))))
-            if len(into) == 1:
-                alpha.append(alpha[into[0][0]] + into[0][1])
-            else:
-                terms = [alpha[i] + p for i, p in into]
-                top = max(terms)
-                alpha.append(top + log(sum([exp(x - top) for x in terms])))
-            edges.append(into)
-        return alpha, edges
+                    spelled = spelled or end == begin + 1
+                    new, old = so_far + p, alpha[end]
+                    alpha[end] = new if old is None else new + log(exp(old - new)) if new > old else old + log(exp(new - old))
+                    if edges is not None:
+                        edges[end].append((begin, p, text[begin:end]))
+            if not spelled:  # byte pieces stand for the character
+                p = self.byte * len(text[begin].encode("utf-8", "replace"))
+                new, old = so_far + p, alpha[begin + 1]
+                alpha[begin + 1] = new if old is None else new + log(exp(old - new)) if new > old else old + log(exp(new - old))
+                if edges is not None:
+                    edges[begin + 1].append((begin, p, ""))
+        return alpha
 
     def log_chance(self, word: str) -> float:
-        return self._edges(SPACE + word)[0][-1] + self.last
+        return self._forward(SPACE + word)[-1] + self.last
 
     def expect(self, word: str, into: dict[str, float]) -> None:
         """Adds the expected numbers of the word's pieces over all ways to cut it."""
         text = SPACE + word
-        alpha, edges = self._edges(text)
         n, exp = len(text), math.exp
+        edges: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
+        alpha = self._forward(text, edges)
         share = [0.0] * n + [1.0]  # chance that a cut lies here
         for end in range(n, 0, -1):
-            if share[end] > 1e-9:
-                for begin, p in edges[end]:
-                    x = share[end] * exp(alpha[begin] + p - alpha[end])
+            here = share[end]
+            if here > 1e-9:
+                for begin, p, piece in edges[end]:
+                    x = here * exp(alpha[begin] + p - alpha[end])
                     share[begin] += x
-                    piece = text[begin:end]
-                    if piece in self.logp:
+                    if piece:
                         into[piece] = into.get(piece, 0.0) + x
 
 
@@ -220,18 +231,7 @@ def scored(docs: DataFrame, scores: dict[str, float], kind_col: str | None = "la
     per_kind = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(F.lit(0))).alias(f"c{k}") for k in range(kinds)]
     counted = written(seen.groupBy("word").agg(F.sum("n").alias("c"), *per_kind), "lm-counts")
     lattices = fitted(Lattice(scores), counted.where("c > 0"), kinds)
-    sent = spark.sparkContext.broadcast(lattices)
-
-    def spelled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            texts = [w.decode("utf-8", "replace") for w in b.column(0).to_pylist()]
-            logs = [pa.array([x.log_chance(w) for w in texts], pa.float64()) for x in sent.value]
-            yield pa.record_batch([*b.columns, *logs], names=[*b.schema.names, *(f"s{k}" for k in range(kinds))])
-
-    columns = ", ".join(["word binary", "c long", *(f"c{k} long" for k in range(kinds)), *(f"s{k} double" for k in range(kinds))])
-    words = written(counted.mapInArrow(spelled, columns), "lm-words")
-
-    total = words.agg(
+    total = counted.agg(
         F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), *[F.coalesce(F.sum(f"c{k}"), F.lit(0)) for k in range(kinds)], *[F.count_if(F.col(f"c{k}") == 1) for k in range(kinds)]
     ).first()
     ends = np.zeros(kinds)
@@ -252,16 +252,28 @@ def scored(docs: DataFrame, scores: dict[str, float], kind_col: str | None = "la
     end_logs = np.log((ends + backs * end_chance) / (sums + backs))
     base_end = math.log10((end + 0.5) / norm)
 
+    sent = spark.sparkContext.broadcast(lattices)
+
+    def valued(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words with their log chance in each kind."""
+        for b in it:
+            texts = [w.decode("utf-8", "replace") for w in b.column(0).to_pylist()]
+            c = b.column(1).to_numpy()
+            seen_before = np.maximum(c - discount, 0) / n_all if n_all else np.zeros(len(c))
+            logs = []
+            for k, own in enumerate(sent.value):
+                spelling = np.exp(np.maximum(np.array([own.log_chance(w) for w in texts]), -690.0))
+                chance = seen_before + back_mass * spelling
+                logs.append(pa.array(np.log((b.column(2 + k).to_numpy() + backs[k] * chance) / (sums[k] + backs[k])).astype(np.float32)))
+            yield pa.record_batch([b.column(0), b.column(1), *logs], names=["word", "c", *(f"p{k}" for k in range(kinds))])
+
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         size = int(max(right.column("wid").to_numpy(), default=-1)) + 1
-        c, spelling, own = np.zeros(size), np.zeros((size, kinds)), np.zeros((size, kinds))
+        c, logs = np.zeros(size), np.zeros((size, kinds))
         wid = right.column("wid").to_numpy()
         c[wid] = right.column("c").to_numpy()
         for k in range(kinds):
-            spelling[wid, k] = np.exp(np.maximum(right.column(f"s{k}").to_numpy(), -690.0))
-            own[wid, k] = right.column(f"c{k}").to_numpy()
-        chance = (np.maximum(c - discount, 0) / n_all if n_all else np.zeros(size))[:, None] + back_mass * spelling
-        logs = np.log((own + backs * chance) / (sums + backs))
+            logs[wid, k] = right.column(f"p{k}").to_numpy()
         base = np.log10((c + 0.5) / norm)
         out: list[list] = [[], [], [], []]
         for ids, n in zip(left.column("ids"), left.column("counts"), strict=True):
@@ -274,6 +286,7 @@ def scored(docs: DataFrame, scores: dict[str, float], kind_col: str | None = "la
             out[3].append(float(top + np.log(np.exp(by_kind - top).sum())) / math.log(10))
         return pa.table([left.column("doc_id"), left.column("held_out"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
+    words = counted.mapInArrow(valued, ", ".join(["word binary", "c long", *(f"p{k} float" for k in range(kinds))]))
     # A word that trains several kinds has a row for each in its batch; the lowest one stands for all.
     numbers = seen.select("batch", "word", "wid", "kind", "lowest").where("kind = lowest").drop("kind", "lowest").join(words, "word").drop("word")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
