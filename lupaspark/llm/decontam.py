@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification."""
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH over windows of the whole item, exact edit verification."""
 
 from __future__ import annotations
 
@@ -17,21 +17,25 @@ from lupaspark.llm.common import written
 MAX_EDITS = 0.2
 #: Independent walks, samples of positions taken from each walk, and positions in a sample.
 WALKS, SAMPLES, BITS = 6, 6, 5
-#: Windows begin at every STRIDE-th word. Items are entered with each of their first STRIDE words as the beginning, so that every copy has a window in step.
+#: Windows of texts begin at every STRIDE-th word. Items are entered with windows at every word, so that each stretch of a copy has windows in step.
 STRIDE = 4
-#: Words that a walk reads at most; a shorter item ends it earlier.
+#: Words that a walk reads at most; the end of an item ends it earlier.
 WALK_WORDS = 24
+#: Fewest words, besides pads, in a key of an item: keys of pads alone would meet the end of every text.
+REAL_WORDS = 3
 #: Fewest words of an item: shorter ones are common phrases.
 MIN_WORDS = 8
 #: A copy of the shortest items may lack so many words.
 MAX_SHORT = 2
-#: Bits of the table of item keys that tasks hold, whatever the number of items.
+#: Bits of each of the two tables of item keys that tasks hold, whatever the number of items.
 FILTER_BITS = 1 << 25
 SEED = 20_240_131
 #: Texts are walked over together up to so many words, and words whose hashes a task remembers.
 PIECE, MEMO = 1 << 16, 300_000
 _WORD = re.compile(r"\w+")
 _PAD = 0x5BD1E995
+#: The second table of keys goes by their bits from here on.
+_SECOND = 32
 
 
 def words_of(text: str) -> list[str]:
@@ -64,8 +68,8 @@ class Walks:
         self.picks = [[np.sort(rng.choice(int(self.steps * r), BITS, replace=False)) for r in reach] for _ in range(WALKS)]
         self.mix = rng.integers(1, 2**63, size=(WALKS, SAMPLES, BITS), dtype=np.uint64) | np.uint64(1)
 
-    def keys(self, words: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """Keys (window, walk and sample) of the windows words[start:stop]; beyond a window's stop the walk reads a pad."""
+    def keys(self, words: np.ndarray, starts: np.ndarray, stops: np.ndarray, real: np.ndarray | None = None) -> np.ndarray:
+        """Keys (window, walk and sample) of the windows words[start:stop]; beyond a window's stop the walk reads a pad. real(walk and sample, window) counts the words in each key."""
         out = np.zeros((WALKS * SAMPLES, len(starts)), dtype=np.uint64)
         padded = np.append(words, np.uint64(_PAD))
         with np.errstate(over="ignore"):
@@ -79,6 +83,8 @@ class Walks:
                     c = padded[np.where(at < stops, at, len(words))]
                     for row, mix in taken.get(step, ()):
                         out[row] += (c ^ np.uint64(step + 1)) * mix
+                        if real is not None:
+                            real[row] += at < stops
                     at += ((c * self.coins[w, step]) >> np.uint64(63)).astype(np.int64)
             out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             out += np.arange(WALKS * SAMPLES, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
@@ -117,25 +123,52 @@ def best_span(item: list[str], text: list[str], most: int) -> tuple[int, int, in
     return dist, stop - length, stop
 
 
-def _item_rows(items: DataFrame) -> DataFrame:
+def _item_words(items: DataFrame) -> DataFrame:
+    """(item_id, words) of the items that are long enough."""
+
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            found = [(item, words_of(text or "")) for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            found = [(item, words) for item, words in found if len(words) >= MIN_WORDS]
+            yield pa.record_batch([pa.array([i for i, _ in found], pa.int64()), pa.array([" ".join(w) for _, w in found], pa.string())], names=["item_id", "words"])
+
+    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(rows, "item_id long, words string").distinct()
+
+
+def item_starts(n: int, max_edits: float) -> np.ndarray:
+    """Where the windows of an item of n words begin: each full window, and in short items as many as edits of the opening and windows out of step can make useless."""
+    return np.arange(min(n, max(n - WALK_WORDS, int(n * max_edits)) + STRIDE))
+
+
+def _item_keys(items: DataFrame, max_edits: float) -> DataFrame:
+    """Keys of items(item_id, words) and the place in the item of the window they stand for."""
     walks = Walks()
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = words_of(text or "")
-                if len(words) < MIN_WORDS:
-                    continue
-                h = hashed(words, {})
-                n = min(STRIDE, len(words))
-                starts = np.arange(n)
-                keys = walks.keys(h, starts, _stops(starts, np.full(n, len(words)))).view(np.int64)
-                size = keys.size
-                yield pa.record_batch(
-                    [pa.array(keys.ravel()), pa.array(np.repeat(starts, keys.shape[1]), pa.int32()), pa.array([item] * size, pa.int64()), pa.array([" ".join(words)] * size)], names=["key", "skip", "item_id", "words"]
-                )
+                words = text.split(" ")
+                starts = item_starts(len(words), max_edits)
+                real = np.zeros((WALKS * SAMPLES, len(starts)), dtype=np.int64)
+                keys = walks.keys(hashed(words, {}), starts, _stops(starts, np.full(len(starts), len(words))), real).view(np.int64)
+                window, row = np.nonzero(real.T >= REAL_WORDS)
+                yield pa.record_batch([pa.array(keys[window, row]), pa.array(starts[window], pa.int32()), pa.array([item] * len(window), pa.int64())], names=["key", "skip", "item_id"])
 
-    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(rows, "key long, skip int, item_id long, words string")
+    return items.mapInArrow(rows, "key long, skip int, item_id long")
+
+
+def _key_table(keyed: DataFrame, shift: int) -> np.ndarray:
+    """Bits that are set where the keys, without their lowest `shift` bits, fall."""
+    spot = F.pmod(F.shiftright("key", shift), F.lit(FILTER_BITS))
+    longs = keyed.select(F.shiftright(spot, 6).alias("at"), F.expr(f"shiftleft(1L, cast(pmod(shiftright(key, {shift}), {FILTER_BITS}) & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    table = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    table[longs["at"].to_numpy(dtype=np.int64)] = longs["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return table
+
+
+def _in_table(table: np.ndarray, keys: np.ndarray, shift: int) -> np.ndarray:
+    spots = ((keys >> shift) % FILTER_BITS).view(np.uint64)
+    return (table[(spots >> np.uint64(6)).view(np.int64)] >> (spots & np.uint64(63))) & np.uint64(1) == 1
 
 
 def _stops(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -149,22 +182,20 @@ def leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> Da
     replacements of words; of an item's copies in a document the nearest is returned, the first among equals.
     Items under MIN_WORDS words and null texts have no copies. Equal doc_ids are one document.
 
-    Windows whose keys may be an item's (by a table of fixed size that tasks hold) go on to the join, with the words around them;
+    Windows whose keys may be an item's (by two tables of fixed size that tasks hold) go on to the join, with the words around them;
     the exact edit distance then decides.
     """
     spark = docs.sparkSession
-    keyed = written(_item_rows(items), "items")
-    longest = keyed.agg(F.max(F.size(F.split("words", " ")))).first()[0]
+    known = written(_item_words(items), "items")
+    longest = known.agg(F.max(F.size(F.split("words", " ")))).first()[0]
     if longest is None:
         return spark.createDataFrame([], "doc_id long, item_id long, edits int, item_words int, start_word int, n_words int")
-    spot = F.pmod("key", F.lit(FILTER_BITS))
-    longs = keyed.select(F.shiftright(spot, 6).alias("at"), F.expr(f"shiftleft(1L, cast(pmod(key, {FILTER_BITS}) & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
-    table = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    table[longs["at"].to_numpy(dtype=np.int64)] = longs["bits"].to_numpy(dtype=np.int64).view(np.uint64)
-    sent, walks, margin = spark.sparkContext.broadcast(table), Walks(), int(longest * (1 + max_edits)) + STRIDE + 1
+    keyed = written(_item_keys(known, max_edits), "item-keys")
+    sent = spark.sparkContext.broadcast([_key_table(keyed, 0), _key_table(keyed, _SECOND)])
+    walks, margin = Walks(), int(longest * (1 + max_edits)) + WALK_WORDS // 2
 
     def windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, memo = sent.value, {}
+        (first, second), memo = sent.value, {}
 
         def walked(texts: list[tuple[int, list[str]]]) -> pa.RecordBatch | None:
             """Probes of some texts, whose windows are walked over together."""
@@ -175,16 +206,18 @@ def leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> Da
             starts = np.concatenate([np.arange(a, z, STRIDE) for a, z in zip(begins.tolist(), ends.tolist(), strict=True)])
             of = np.searchsorted(ends, starts, side="right")
             keys = walks.keys(h, starts, _stops(starts, ends[of])).view(np.int64)
-            spots = (keys % FILTER_BITS).view(np.uint64)
-            hit = (bits[(spots >> np.uint64(6)).view(np.int64)] >> (spots & np.uint64(63))) & np.uint64(1) == 1
-            at, which = np.nonzero(hit)
+            at, which = np.nonzero(_in_table(first, keys, 0))
+            both = _in_table(second, keys[at, which], _SECOND)
+            at, which = at[both], which[both]
             if not len(at):
                 return None
-            pos = starts[at] - begins[of[at]]
-            lows = np.maximum(0, pos - STRIDE - int(longest * max_edits))
-            around = [" ".join(texts[t][1][lo : p + margin]) for t, lo, p in zip(of[at].tolist(), lows.tolist(), pos.tolist(), strict=True)]
-            ids = [texts[t][0] for t in of[at].tolist()]
-            return pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys[at, which]), pa.array(pos, pa.int32()), pa.array(lows, pa.int32()), pa.array(around)], names=["doc_id", "key", "pos", "low", "around"])
+            hits, begun = np.unique(at, return_index=True)  # at is in order
+            own = pa.ListArray.from_arrays(pa.array(np.append(begun, len(at)), pa.int32()), pa.array(keys[at, which]))
+            pos = starts[hits] - begins[of[hits]]
+            lows = np.maximum(0, pos - margin)
+            around = [" ".join(texts[t][1][lo : p + margin]) for t, lo, p in zip(of[hits].tolist(), lows.tolist(), pos.tolist(), strict=True)]
+            ids = [texts[t][0] for t in of[hits].tolist()]
+            return pa.record_batch([pa.array(ids, pa.int64()), own, pa.array(pos, pa.int32()), pa.array(lows, pa.int32()), pa.array(around)], names=["doc_id", "keys", "pos", "low", "around"])
 
         for b in it:
             texts, held = [], 0
@@ -201,17 +234,24 @@ def leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> Da
             if texts and (out := walked(texts)) is not None:
                 yield out
 
-    probes = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(windows, "doc_id long, key long, pos int, low int, around string")
-    pairs = probes.join(keyed, "key").groupBy("doc_id", "item_id", (F.col("pos") - F.col("skip")).alias("begin")).agg(F.min(F.struct("low", "around")).alias("at"), F.first("words").alias("words")).select("doc_id", "item_id", "begin", "at.low", "at.around", "words")
+    probes = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(windows, "doc_id long, keys array<long>, pos int, low int, around string")
+    probes = written(probes, "windows")
+    begin = (F.col("pos") - F.col("skip")).alias("begin")
+    places = probes.select("doc_id", "pos", F.explode("keys").alias("key")).join(keyed, "key").groupBy("doc_id", "item_id", begin).agg(F.min("pos").alias("pos"))
+    held = places.join(probes.drop("keys").distinct(), ["doc_id", "pos"]).withColumnRenamed("item_id", "of_item")
+    pairs = held.join(known, F.col("of_item").eqNullSafe(F.col("item_id"))).select("doc_id", "item_id", "begin", "low", "around", "words")
 
     def verified(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "item_id", "edits", "item_words", "start_word", "n_words"]
         for b in it:
             out = []
-            for doc, item, _, low, around, words in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for doc, item, begin, low, around, words in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 own = words.split(" ")
-                if found := best_span(own, around.split(" "), int(len(own) * max_edits)):
-                    out.append((doc, item, found[0], len(own), low + found[1], found[2] - found[1]))
+                most = int(len(own) * max_edits)
+                slack = most + WALK_WORDS // 2  # walks may meet out of step
+                near = max(low, begin - slack)
+                if found := best_span(own, around.split(" ")[near - low : begin + len(own) + slack - low], most):
+                    out.append((doc, item, found[0], len(own), near + found[1], found[2] - found[1]))
             if out:
                 yield pa.record_batch([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(zip(*out, strict=True))], names=names)
 

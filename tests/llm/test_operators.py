@@ -214,6 +214,33 @@ def test_decontamination(spark):
     assert decontam.leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_edits_anywhere(spark):
+    """Copies of which the beginning, the end or words all over are replaced or cut, within the 20 %."""
+    rng = random.Random(61)
+    words = ["".join(rng.choice("abcdefghijklmn") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    items = [(i, " ".join(rng.choices(words, k=(15, 30, 60, 100)[i % 4]))) for i in range(80)]
+    rows, want = [], {}
+    for i, t in items:
+        for k, where in enumerate(("head", "cut", "tail", "spread")):
+            copy = t.split(" ")
+            most = int(len(copy) * 0.2)
+            if where == "cut":
+                copy = copy[most:]
+            else:
+                spots = {"head": range(most), "tail": range(len(copy) - most, len(copy)), "spread": rng.sample(range(len(copy)), most)}[where]
+                for s in spots:
+                    copy[s] = rng.choice(words)
+            n = len(rows)
+            rows.append((n, " ".join(rng.choices(words, k=rng.randint(0, 60)) + copy + rng.choices(words, k=rng.randint(0, 60)))))
+            want.setdefault((where, len(t.split(" "))), set()).add((n, i))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, rows), bench).collect()}
+    assert found <= set().union(*want.values())
+    recall = {k: len(v & found) / len(v) for k, v in want.items()}
+    print(recall)
+    assert min(recall.values()) >= 0.9, recall
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     clean = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
