@@ -259,12 +259,13 @@ def scored(docs: DataFrame, scores: dict[str, float], kind_col: str | None = "la
         for b in it:
             texts = [w.decode("utf-8", "replace") for w in b.column(0).to_pylist()]
             c = b.column(1).to_numpy()
-            seen_before = np.maximum(c - discount, 0) / n_all if n_all else np.zeros(len(c))
             logs = []
-            for k, own in enumerate(sent.value):
-                spelling = np.exp(np.maximum(np.array([own.log_chance(w) for w in texts]), -690.0))
-                chance = seen_before + back_mass * spelling
-                logs.append(pa.array(np.log((b.column(2 + k).to_numpy() + backs[k] * chance) / (sums[k] + backs[k])).astype(np.float32)))
+            with np.errstate(divide="ignore"):  # the log of nothing is -inf, which adds nothing
+                seen_before = np.log(np.maximum(c - discount, 0) / n_all if n_all else np.zeros(len(c)))
+                for k, own in enumerate(sent.value):
+                    spelling = np.array([own.log_chance(w) for w in texts], dtype=float)
+                    chance = np.logaddexp(seen_before, np.log(back_mass) + spelling)
+                    logs.append(pa.array(np.logaddexp(np.log(b.column(2 + k).to_numpy()), math.log(backs[k]) + chance) - math.log(sums[k] + backs[k])))
             yield pa.record_batch([b.column(0), b.column(1), *logs], names=["word", "c", *(f"p{k}" for k in range(kinds))])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -286,7 +287,7 @@ def scored(docs: DataFrame, scores: dict[str, float], kind_col: str | None = "la
             out[3].append(float(top + np.log(np.exp(by_kind - top).sum())) / math.log(10))
         return pa.table([left.column("doc_id"), left.column("held_out"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    words = counted.mapInArrow(valued, ", ".join(["word binary", "c long", *(f"p{k} float" for k in range(kinds))]))
+    words = counted.mapInArrow(valued, ", ".join(["word binary", "c long", *(f"p{k} double" for k in range(kinds))]))
     # A word that trains several kinds has a row for each in its batch; the lowest one stands for all.
     numbers = seen.select("batch", "word", "wid", "kind", "lowest").where("kind = lowest").drop("kind", "lowest").join(words, "word").drop("word")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"

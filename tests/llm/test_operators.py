@@ -427,3 +427,34 @@ def test_bloom_has_no_false_negatives(spark):
     probe = spark.range(6000).select("id", F.array(F.xxhash64(F.concat(F.lit("k"), "id"))).alias("h"), F.array(F.xxhash64(F.xxhash64(F.concat(F.lit("k"), "id")))).alias("m"))
     hit = {r.id for r in probe.where(check("h", "m")).collect()}
     assert set(range(3000)) <= hit and len(hit) < 3100
+
+
+def test_lm_scoring_of_long_tokens(spark):
+    """A token of 5,000 characters and one that only bytes spell have their own tiny chances, summed longhand in logs."""
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    ids = [i for i in range(60) if not out(i)][:6]
+    train = [(i, "alpha beta gamma " * (i % 3 + 1) + f"only{i}") for i in ids]
+    odd = ["q" * 5000, "qz" * 100, "\u65e5\u672c\u8a9e\u306e\u6587" * 12, "alpha " + "7" * 900]
+    asked = list(zip([i for i in range(200) if out(i)], odd, strict=False))
+    scores = lattice.read_scores(public_tokenizers.path("piece_bpe_32k.model"))
+    got = {r.doc_id: r.score for r in lattice.scored(docs(spark, train + asked), scores).collect()}
+
+    counts = Counter(w for _, t in train for w in t.split())
+    table = spark.createDataFrame([(w.encode(), n, 0) for w, n in counts.items()], "word binary, c0 long, c1 long")
+    own = lattice.fitted(lattice.Lattice(scores), table, 2)
+    ones, twos, ends = sum(n == 1 for n in counts.values()), sum(n == 2 for n in counts.values()), len(train)
+    total, discount = sum(counts.values()) + ends, ones / (ones + 2 * twos)
+
+    def log_sum(*x):
+        return max(x) + math.log(sum(math.exp(v - max(x)) for v in x))
+
+    for i, text in asked:
+        chances = []
+        for k, (n_k, docs_k, back) in enumerate([(total, ends, max(1, ones)), (0, 0, 1)]):
+            x = math.log((docs_k + 1) / (ends + 2)) + math.log((docs_k + back * ends / total) / (n_k + back))
+            for w in text.split():
+                spelled = math.log(discount * len(counts) / total) + own[k].log_chance(w)
+                any_kind = log_sum(spelled, math.log((counts[w] - discount) / total)) if counts[w] else spelled
+                x += (log_sum(any_kind + math.log(back), math.log(counts[w])) if counts[w] and k == 0 else any_kind + math.log(back)) - math.log(n_k + back)
+            chances.append(x)
+        assert got[i] == pytest.approx(log_sum(*chances) / math.log(10), rel=1e-9)
