@@ -182,8 +182,11 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def best_similar(df: DataFrame, targets: DataFrame, block: str, cut: float = 0.62) -> DataFrame:
     """(id, target, ratio): the most similar target of the same block, from `cut` on; targets(target, text, block), df(id, text, block)."""
-    pairs = df.join(targets.select("target", F.col("text").alias("_t"), block), block).withColumn("ratio", F.round(similarity(C.norm_alnum(F.col("text")), C.norm_alnum(F.col("_t"))), 4))
-    return pairs.where(F.col("ratio") >= cut).withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("ratio"), "target"))).where("_n = 1").select("id", "target", "ratio")
+    # Equal texts of a block are compared once.
+    theirs = targets.groupBy(block, F.col("text").alias("_t")).agg(F.min("target").alias("target"))
+    pairs = df.select("text", block).distinct().join(theirs, block).withColumn("ratio", F.round(similarity(C.norm_alnum(F.col("text")), C.norm_alnum(F.col("_t"))), 4))
+    best = pairs.where(F.col("ratio") >= cut).withColumn("_n", F.row_number().over(Window.partitionBy("text", block).orderBy(F.desc("ratio"), "target"))).where("_n = 1")
+    return df.join(best.select("text", block, "target", "ratio"), ["text", block]).select("id", "target", "ratio")
 
 
 def two_sided(df: DataFrame, targets: DataFrame, cut: float = 0.75, margin: float = 0.2) -> DataFrame:

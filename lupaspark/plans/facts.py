@@ -129,7 +129,7 @@ def j15_fuzzy_person(t):
 @query()
 def j17_best_similar(t):
     p = t.part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("text"), (F.col("p_size") % 50).alias("block"))
-    targets = t.part.where("p_partkey <= 200").select(F.col("p_partkey").alias("target"), F.col("p_type").alias("text"), (F.col("p_size") % 50).alias("block"))
+    targets = t.part.select(F.col("p_partkey").alias("target"), F.col("p_type").alias("text"), (F.col("p_size") % 50).alias("block"))
     return R.best_similar(p, targets, "block")
 
 

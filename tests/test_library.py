@@ -234,3 +234,15 @@ def test_streams(spark, tmp_path):
     q = ST.snapshots(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), lambda b, n: b.groupBy("kind").count())
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_best_similar_of_all_parts(spark):
+    from lupaspark import plans
+
+    sf = "/root/testdata/sf0.01"
+    parts = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_type", "p_size").collect()
+    least = {}
+    for k, kind, size in parts:
+        least[kind, size % 50] = min(k, least.get((kind, size % 50), k))
+    got = {r.id: (r.target, r.ratio) for r in plans.QUERIES["j17_best_similar"](spark, sf).collect()}
+    assert got == {k: (least[kind, size % 50], 1.0) for k, kind, size in parts}
