@@ -1,8 +1,9 @@
-"""LM scoring: word counts of the corpus over a subword lattice that spells any word."""
+"""LM scoring: a subword lattice that spells any word, with the words of the training texts in it."""
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,14 +16,16 @@ from pyspark.sql import functions as F
 from lupaspark.llm.common import written
 
 FOLDS, HELD_OUT = 5, 1
-#: Kinds of text (values of the kind column) that get counts of their own; the rarer ones share one more.
-MAX_KINDS = 7
+#: Kinds of text that get counts of their own, and strengths of the pull towards words that a text has used before.
+KINDS, BURSTS = 8, (300.0, 3000.0)
 #: Chance that a word ends after a piece, and the rank added to a piece's own, in the weights of the pieces.
 STOP, RANK_SHIFT = 0.25, 10.0
-#: Share of the byte pieces, rounds in which the weights are fitted to the words of the training texts, and pieces that the weights before them stand for.
-BYTE_SHARE, ROUNDS, PRIOR_PIECES = 1e-4, 2, 100.0
+#: Share of the byte pieces, and pieces that the weights before a refit stand for.
+BYTE_SHARE, PRIOR_PIECES = 1e-4, 100.0
 #: A batch of documents closes at so many distinct words or bytes of text.
 BATCH_WORDS, BATCH_BYTES = 500_000, 32 << 20
+#: Entries of texts whose chances are added up at a time.
+CHUNK = 100_000
 SPACE = "▁"
 
 
@@ -104,8 +107,8 @@ class Lattice:
     def log_chance(self, word: str) -> float:
         return self._forward(SPACE + word)[-1] + self.last
 
-    def expect(self, word: str, into: dict[str, float]) -> None:
-        """Adds the expected numbers of the word's pieces over all ways to cut it."""
+    def expect(self, word: str, into: dict[str, float]) -> float:
+        """Adds the expected numbers of the word's pieces over all ways to cut it; returns its log chance."""
         text = SPACE + word
         n, exp = len(text), math.exp
         edges: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
@@ -119,177 +122,234 @@ class Lattice:
                     share[begin] += x
                     if piece:
                         into[piece] = into.get(piece, 0.0) + x
+        return alpha[n] + self.last
 
 
-_FIELDS = pa.schema([("batch", pa.int64()), ("word", pa.binary()), ("wid", pa.int32()), ("kind", pa.int32()), ("lowest", pa.int32()), ("n", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+_WORD_COUNTS = [f"c{k}" for k in range(KINDS)]
+_FIELDS = pa.schema(
+    [("batch", pa.int64()), ("word", pa.binary()), ("wid", pa.int32()), *((c, pa.int32()) for c in _WORD_COUNTS)]
+    + [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("kind", pa.int32()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]
+)
+_PASSED = (
+    f"batch long, word binary, wid int, {', '.join(c + ' int' for c in _WORD_COUNTS)}, "
+    "doc_id long, held_out boolean, kind int, ids array<int>, counts array<int>"
+)
+
+
+class _Numbers(dict):
+    """Words numbered in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def kind_of(counts: dict[bytes, int]) -> int:
+    """The kind of a text: a hash of its commonest word (the largest among equals), so that texts of one language and manner mostly fall together. 0 without words."""
+    return zlib.crc32(max(counts.items(), key=lambda x: (x[1], x[0]))[0]) % KINDS if counts else 0
+
+
+def _rows(**columns: pa.Array) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.record_batch([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in _FIELDS], schema=_FIELDS)
 
 
 def _batched(docs: DataFrame) -> DataFrame:
-    """One pass over the texts. Rows with a word: the batch's number of it and its training count by kind (kind -1: only held out). Rows without: documents as their words' numbers and counts."""
+    """One pass over docs(doc_id, text, held_out). Rows with a word: its number in the batch and its training count by kind. Rows without: a document as numbers of its words and their counts."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = TaskContext.get().partitionId() << 32
-        words: dict[bytes, int] = {}
-        counts: dict[tuple[int, int], int] = {}
-        rows: list[tuple] = []
-        held = 0
+        words, seen, rows, held = _Numbers(), np.zeros((KINDS, 1 << 16), dtype=np.int32), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            names, low = list(words), {}
-            for w, k in counts:
-                low[w] = min(k, low.get(w, k))
-            lines = [(w, k, low[w], n) for (w, k), n in counts.items()] + [(w, -1, -1, 0) for w in range(len(names)) if w not in low]
-            for at in range(0, len(lines), 50_000):
-                part = lines[at : at + 50_000]
-                wid, kind, lowest, n = zip(*part, strict=True)
-                m = len(part)
-                empty = pa.nulls(m, pa.int64())
-                yield pa.record_batch([pa.array(np.full(m, batch)), pa.array([names[w] for w in wid], pa.binary()), pa.array(wid, pa.int32()), pa.array(kind, pa.int32()), pa.array(lowest, pa.int32()), pa.array(n, pa.int64()), empty, pa.nulls(m, pa.bool_()), pa.nulls(m, pa.list_(pa.int32())), pa.nulls(m, pa.list_(pa.int32()))], schema=_FIELDS)
+            names = list(words)
+            for at in range(0, len(names), 50_000):
+                part = names[at : at + 50_000]
+                own = {c: pa.array(seen[k, at : at + len(part)]) for k, c in enumerate(_WORD_COUNTS)}
+                yield _rows(batch=pa.array(np.full(len(part), batch)), word=pa.array(part, pa.binary()), wid=pa.array(np.arange(at, at + len(part), dtype=np.int32)), **own)
             for at in range(0, len(rows), 500):
-                doc, kind, held_out, ids, ns = zip(*rows[at : at + 500], strict=True)
-                m = len(doc)
-                yield pa.record_batch([pa.array(np.full(m, batch)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.array(kind, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(doc, pa.int64()), pa.array(held_out, pa.bool_()), pa.array(ids, pa.list_(pa.int32())), pa.array(ns, pa.list_(pa.int32()))], schema=_FIELDS)
+                doc, held_out, kind, ids, ns = zip(*rows[at : at + 500], strict=True)
+                lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)], dtype=np.int32), np.concatenate(x)) for x in (ids, ns)]
+                yield _rows(batch=pa.array(np.full(len(doc), batch)), doc_id=pa.array(doc, pa.int64()), held_out=pa.array(held_out), kind=pa.array(kind, pa.int32()), ids=lists[0], counts=lists[1])
 
         for b in it:
-            for doc, text, kind, held_out in zip(*b.columns, strict=True):
-                doc, text, kind, held_out = doc.as_py(), text.as_py() or b"", kind.as_py(), held_out.as_py()
+            for doc, text, held_out in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                text = text.as_py() or b""
                 own = Counter(text.lower().split())
-                ids = []
-                for w, n in own.items():
-                    i = words.get(w)
-                    if i is None:
-                        i = words[w] = len(words)
-                    ids.append(i)
-                    if not held_out:
-                        counts[i, kind] = counts.get((i, kind), 0) + n
-                rows.append((doc, kind, held_out, np.array(ids, dtype=np.int32), np.array(list(own.values()), dtype=np.int32)))
+                ids = np.fromiter(map(words.__getitem__, own), dtype=np.int32, count=len(own))
+                n = np.fromiter(own.values(), dtype=np.int32, count=len(own))
+                kind = kind_of(own)
+                if len(words) > seen.shape[1]:
+                    seen = np.pad(seen, ((0, 0), (0, 2 * len(words) - seen.shape[1])))
+                if not held_out:
+                    seen[kind, ids] += n
+                rows.append((doc, held_out, kind, ids, n))
                 held += len(text)
                 if len(words) >= BATCH_WORDS or held >= BATCH_BYTES:
                     yield from flush()
-                    words, counts, rows, held, batch = {}, {}, [], 0, batch + 1
+                    words, rows, held, batch = _Numbers(), [], 0, batch + 1
+                    seen[:] = 0
         if rows:
             yield from flush()
 
-    return docs.mapInArrow(batches, "batch long, word binary, wid int, kind int, lowest int, n long, doc_id long, held_out boolean, ids array<int>, counts array<int>")
+    return docs.mapInArrow(batches, _PASSED)
 
 
-def fitted(lattice: Lattice, words: DataFrame, kinds: int) -> list[Lattice]:
-    """A lattice for each kind, fitted to its distinct words (those with c<kind> > 0), each counting once: what it gives words never seen is what counts here.
+def _spelled(counted: DataFrame, lattice: Lattice) -> DataFrame:
+    """Words with their log chance under the lattice (plain), and, in rows without a word, the expected numbers of the pieces in the
+    distinct training words (piece "": the number of those words). A task sends each piece once."""
+    sent = counted.sparkSession.sparkContext.broadcast(lattice)
 
-    Each round a task sends expected numbers of at most the vocabulary's pieces for each kind, added up before they reach the driver.
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, sums, words = sent.value, {}, 0
+        for b in it:
+            trained = b.column("c").to_numpy() > 0
+            logs = [own.expect(w.decode("utf-8", "replace"), sums) if t else own.log_chance(w.decode("utf-8", "replace")) for w, t in zip(b.column("word").to_pylist(), trained.tolist(), strict=True)]
+            words += int(trained.sum())
+            yield pa.record_batch([*b.columns, pa.array(logs, pa.float64()), pa.nulls(b.num_rows, pa.string()), pa.nulls(b.num_rows, pa.float64())], names=[*b.schema.names, "plain", "piece", "expected"])
+        n = len(sums) + 1
+        nulls = [pa.nulls(n, f.type) for f in _spelled_schema]
+        yield pa.record_batch([*nulls, pa.array([*sums, ""], pa.string()), pa.array([*sums.values(), float(words)], pa.float64())], names=[*_spelled_schema.names, "piece", "expected"])
+
+    _spelled_schema = pa.schema([("word", pa.binary()), ("c", pa.int64()), *((c, pa.int64()) for c in _WORD_COUNTS), ("plain", pa.float64())])
+    return counted.mapInArrow(batches, f"word binary, c long, {', '.join(c + ' long' for c in _WORD_COUNTS)}, plain double, piece string, expected double")
+
+
+class Model:
+    """Chances of whole texts. What the corpus tells is a fixed number of totals; words bring their own counts and spelling.
+
+    A word's chance is (c - D) / N + D V / N * spelling: c is its training count, N all of them, V the distinct words, D a discount from the words
+    seen once and twice. Each kind of training text (kind_of) has counts of its own, which fall back on these chances with the weight of its words seen once.
+    In a text, words that came before are likelier: after i tokens, m of them this word, its chance is (a p + m) / (a + i). A text's chance is the
+    sum of that over kinds, by their shares of the training texts, and over the strengths a (BURSTS; without end: none). Words, kinds and strengths all sum to at most 1.
     """
-    spark = words.sparkSession
-    out = [lattice] * kinds
-    for _ in range(ROUNDS):
-        sent = spark.sparkContext.broadcast(out)
-
-        def expected(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            sums: list[dict[str, float]] = [{} for _ in range(kinds)]
-            for b in it:
-                texts = [w.decode("utf-8", "replace") for w in b.column(0).to_pylist()]
-                for k in range(kinds):
-                    for i in np.flatnonzero(b.column(1 + k).to_numpy(zero_copy_only=False)).tolist():
-                        sent.value[k].expect(texts[i], sums[k])
-                        sums[k][""] = sums[k].get("", 0) + 1
-            for k in range(kinds):
-                yield pa.record_batch([pa.array([k] * len(sums[k]), pa.int32()), pa.array(list(sums[k]), pa.string()), pa.array(list(sums[k].values()), pa.float64())], names=["kind", "piece", "x"])
-
-        got: list[dict[str, float]] = [{} for _ in range(kinds)]
-        flags = [(F.col(f"c{k}") > 0).alias(f"c{k}") for k in range(kinds)]
-        for r in words.select("word", *flags).mapInArrow(expected, "kind int, piece string, x double").groupBy("kind", "piece").agg(F.sum("x")).collect():
-            got[r[0]][r[1]] = r[2]
-        ns = [int(g.pop("", 0)) for g in got]
-        out = [x.refitted(g, n) if n else x for x, g, n in zip(out, got, ns, strict=True)]
-    return out
-
-
-def scored(docs: DataFrame, scores: dict[str, float], kind_col: str | None = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; log10 chances of the whole text.
+
+    def __init__(self, ends: np.ndarray, words: int, ones: int, twos: int, sums: np.ndarray, backs: np.ndarray) -> None:
+        self.end = float(ends.sum())
+        self.n = float(sums.sum()) + self.end
+        self.v = words + (1 if self.end else 0)
+        self.discount = ones / (ones + 2 * twos) if ones else 0.5
+        self.sums, self.backs = sums + ends, np.maximum(1.0, backs)
+        if words:
+            self.back_mass, self.end_chance = self.discount * words / self.n, self.end / self.n
+        else:  # no word was seen: what an end leaves is for spellings
+            self.back_mass, self.end_chance = 1 / (self.n + 2), (self.end + 1) / (self.n + 2)
+        self.shares = np.log((ends + 1) / (self.end + len(ends)))
+        self.end_logs = np.log((ends + self.backs * self.end_chance) / (self.sums + self.backs))
+        self.norm = self.n + 0.5 * (self.v + 1)
+        self.base_end = math.log10((self.end + 0.5) / self.norm)
+
+    def logs(self, c: np.ndarray, by_kind: np.ndarray, spelling: np.ndarray) -> np.ndarray:
+        """Log chances (word, kind) of words by their counts, (word, kind) counts and log chances of their spelling."""
+        with np.errstate(divide="ignore"):  # the log of nothing is -inf, which adds nothing
+            known = np.log(np.maximum(c - self.discount, 0) / self.n) if self.n else np.full(len(c), -np.inf)
+            chance = np.logaddexp(known, np.log(self.back_mass) + spelling)
+            return np.logaddexp(np.log(by_kind), np.log(self.backs) + chance[:, None]) - np.log(self.sums + self.backs)
+
+    def texts(self, doc: np.ndarray, word: np.ndarray, m: np.ndarray, n_docs: int, logs: np.ndarray) -> np.ndarray:
+        """Log chances of texts that hold words (rows of logs) m times: entries (doc, word, m)."""
+        kinds = logs.shape[1]
+        flat, bursts = np.zeros((kinds, n_docs)), np.zeros((len(BURSTS), kinds, n_docs))
+        for at in range(0, len(doc), CHUNK):
+            d, w, k = doc[at : at + CHUNK], word[at : at + CHUNK], m[at : at + CHUNK]
+            own = logs[w]
+            again = np.maximum(k - 1, 0)
+            for i in range(kinds):
+                flat[i] += np.bincount(d, weights=k * own[:, i], minlength=n_docs)
+                first = np.bincount(d, weights=own[:, i], minlength=n_docs)
+                for a in range(len(BURSTS)):
+                    bursts[a, i] += first
+            if again.any():
+                ends = np.cumsum(again)
+                for lo in range(0, int(ends[-1]), CHUNK):  # a word may come again more often than memory would hold
+                    spot = np.arange(lo, min(lo + CHUNK, int(ends[-1])))
+                    e = np.searchsorted(ends, spot, side="right")
+                    j = spot - (ends[e] - again[e]) + 1
+                    p = np.exp(own[e])
+                    for a, strength in enumerate(BURSTS):
+                        x = np.log(strength * p + j[:, None]) - math.log(strength)
+                        for i in range(kinds):
+                            bursts[a, i] += np.bincount(d[e], weights=x[:, i], minlength=n_docs)
+        tokens = np.bincount(doc, weights=m, minlength=n_docs) + 1
+        parts = [flat]
+        for a, strength in enumerate(BURSTS):
+            lasting = np.array([math.lgamma(strength + t) for t in tokens.tolist()]) - math.lgamma(strength) - tokens * math.log(strength)
+            parts.append(bursts[a] - lasting)
+        every = np.concatenate([p + (self.end_logs + self.shares)[:, None] for p in parts]) - math.log(len(parts))
+        top = every.max(axis=0)
+        return top + np.log(np.exp(every - top).sum(axis=0))
+
+
+def scored(docs: DataFrame, scores: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score) of every row; log10 chances of the whole text.
 
     Words are lower-cased (A-Z) runs without ASCII white space; one end follows. Null texts are empty. Rows whose crc32(doc_id) mod 5 is 1 are held out,
-    all others train; a null doc_id trains.
+    all others train; a null doc_id trains. Repeated rows are scored each, and train each. Nothing but id and text is read.
 
-    The model gives a word the chance (c - D) / N + D V / N * spelling, where c is its training count, N all of them, V the distinct words,
-    D a discount from the words seen once and twice, and the spelling's chance that of the kind's subword lattice. Each kind of text (kind_col; the
-    commonest MAX_KINDS, the rest together, null a kind too) has counts of its own that fall back on these. A text's chance is the sum over kinds
-    of the kind's share of the training documents times the product over its tokens.
+    lattice_score is the marginal chance over all segmentations by the vocabulary's own scores alone, with the training texts' chance of an end. In
+    score the training words stand in the lattice too, beside the ways to spell a word by pieces, whose weights are
+    refitted to the training words from those scores (see Model).
     """
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
-    kind_of = F.coalesce(F.col(kind_col).cast("string"), F.lit("")) if kind_col else F.lit("")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), kind_of.alias("kind"), held.alias("held_out"))
-    names = [r[0] for r in rows.where("not held_out").groupBy("kind").count().orderBy(F.desc("count"), "kind").limit(MAX_KINDS).collect()]
-    number = F.lit(len(names))
-    for i, name in enumerate(names):
-        number = F.when(F.col("kind") == name, F.lit(i)).otherwise(number)
-    kinds = len(names) + 1
-
-    passed = written(_batched(rows.select("doc_id", "text", number.alias("kind"), "held_out")), "lm-batches")
-    seen = passed.where("word is not null")
-    texts = passed.where("word is null")
-
-    per_kind = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(F.lit(0))).alias(f"c{k}") for k in range(kinds)]
-    counted = written(seen.groupBy("word").agg(F.sum("n").alias("c"), *per_kind), "lm-counts")
-    lattices = fitted(Lattice(scores), counted.where("c > 0"), kinds)
-    total = counted.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), *[F.coalesce(F.sum(f"c{k}"), F.lit(0)) for k in range(kinds)], *[F.count_if(F.col(f"c{k}") == 1) for k in range(kinds)]
-    ).first()
-    ends = np.zeros(kinds)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), held.alias("held_out"))
+    passed = written(_batched(rows), "lm-batches")
+    seen, texts = passed.where("word is not null"), passed.where("word is null")
+
+    every = [F.sum(c).alias(c) for c in _WORD_COUNTS]
+    total = F.lit(0).cast("long")
+    for c in _WORD_COUNTS:
+        total = total + F.col(c)
+    counted = seen.groupBy("word").agg(*every).select("word", total.alias("c"), *_WORD_COUNTS)
+    plain = Lattice(scores)
+    counted = written(_spelled(counted, plain), "lm-words")
+    words = counted.where("piece is null").drop("piece", "expected")
+    got = {r[0]: r[1] for r in counted.where("piece is not null").groupBy("piece").agg(F.sum("expected")).collect()}  # at most the vocabulary
+    n_words = int(got.pop("", 0))
+    fitted = plain.refitted(got, n_words) if n_words else plain
+    sums = words.agg(
+        F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2),
+        *[F.coalesce(F.sum(c), F.lit(0)) for c in _WORD_COUNTS], *[F.count_if(F.col(c) == 1) for c in _WORD_COUNTS],
+    ).first()
+    ends = np.zeros(KINDS)
     for r in texts.where("not held_out").groupBy("kind").count().collect():
         ends[r[0]] = r[1]
-    end = float(ends.sum())
-    n_all, v_words = total[0] + end, total[1]
-    v_all = v_words + (1 if end else 0)
-    ones, twos = total[2], total[3]
-    discount = ones / (ones + 2 * twos) if ones else 0.5
-    sums = np.array(total[4 : 4 + kinds], dtype=float) + ends
-    backs = np.maximum(1.0, np.array(total[4 + kinds : 4 + 2 * kinds], dtype=float))
-    shares = np.log((ends + 1) / (end + kinds))
-    norm = n_all + 0.5 * (v_all + 1)
-    # Without training text, a word's chance is its spelling's alone.
-    back_mass = discount * v_words / n_all if n_all and v_words else 0.9 if not n_all else 0.0
-    end_chance = end / n_all if n_all else 0.1
-    end_logs = np.log((ends + backs * end_chance) / (sums + backs))
-    base_end = math.log10((end + 0.5) / norm)
-
-    sent = spark.sparkContext.broadcast(lattices)
-
-    def valued(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words with their log chance in each kind."""
+    model = Model(ends, sums[0], sums[1], sums[2], np.array(sums[3 : 3 + KINDS], dtype=float), np.array(sums[3 + KINDS :], dtype=float))
+    sent = spark.sparkContext.broadcast(fitted)
+
+    def spelled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
         for b in it:
-            texts = [w.decode("utf-8", "replace") for w in b.column(0).to_pylist()]
-            c = b.column(1).to_numpy()
-            logs = []
-            with np.errstate(divide="ignore"):  # the log of nothing is -inf, which adds nothing
-                seen_before = np.log(np.maximum(c - discount, 0) / n_all if n_all else np.zeros(len(c)))
-                for k, own in enumerate(sent.value):
-                    spelling = np.array([own.log_chance(w) for w in texts], dtype=float)
-                    chance = np.logaddexp(seen_before, np.log(back_mass) + spelling)
-                    logs.append(pa.array(np.logaddexp(np.log(b.column(2 + k).to_numpy()), math.log(backs[k]) + chance) - math.log(sums[k] + backs[k])))
-            yield pa.record_batch([b.column(0), b.column(1), *logs], names=["word", "c", *(f"p{k}" for k in range(kinds))])
+            logs = [own.log_chance(w.decode("utf-8", "replace")) for w in b.column("word").to_pylist()]
+            yield pa.record_batch([*b.columns, pa.array(logs, pa.float64())], names=[*b.schema.names, "own"])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        size = int(max(right.column("wid").to_numpy(), default=-1)) + 1
-        c, logs = np.zeros(size), np.zeros((size, kinds))
         wid = right.column("wid").to_numpy()
-        c[wid] = right.column("c").to_numpy()
-        for k in range(kinds):
-            logs[wid, k] = right.column(f"p{k}").to_numpy()
-        base = np.log10((c + 0.5) / norm)
-        out: list[list] = [[], [], [], []]
-        for ids, n in zip(left.column("ids"), left.column("counts"), strict=True):
-            i, m = ids.values.to_numpy(), n.values.to_numpy()
-            by_kind = m @ logs[i] + end_logs + shares
-            top = by_kind.max()
-            out[0].append(int(m.sum()) + 1)
-            out[1].append(int(m[c[i] > 0].sum()) + (end > 0))
-            out[2].append(float(m @ base[i]) + base_end)
-            out[3].append(float(top + np.log(np.exp(by_kind - top).sum())) / math.log(10))
-        return pa.table([left.column("doc_id"), left.column("held_out"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    words = counted.mapInArrow(valued, ", ".join(["word binary", "c long", *(f"p{k} double" for k in range(kinds))]))
-    # A word that trains several kinds has a row for each in its batch; the lowest one stands for all.
-    numbers = seen.select("batch", "word", "wid", "kind", "lowest").where("kind = lowest").drop("kind", "lowest").join(words, "word").drop("word")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    found = texts.select("batch", "doc_id", "held_out", "ids", "counts").groupBy("batch").cogroup(numbers.withColumnRenamed("batch", "of_batch").groupBy("of_batch")).applyInArrow(score, schema)
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"), "base_score", "score")
+        size = int(wid.max()) + 1 if len(wid) else 1
+        c, by_kind, spelling, pieces = np.zeros(size), np.zeros((size, KINDS)), np.zeros(size), np.zeros(size)
+        c[wid], spelling[wid], pieces[wid] = (right.column(x).to_numpy() for x in ("c", "own", "plain"))
+        for k, name in enumerate(_WORD_COUNTS):
+            by_kind[wid, k] = right.column(name).to_numpy()
+        left = left.combine_chunks()
+        lists = left.column("ids").combine_chunks()
+        per_doc, n_docs = np.diff(lists.offsets.to_numpy()), left.num_rows
+        ids, m = lists.flatten().to_numpy(), left.column("counts").combine_chunks().flatten().to_numpy()
+        doc = np.repeat(np.arange(n_docs), per_doc)
+
+        def added(x: np.ndarray) -> np.ndarray:
+            return np.bincount(doc, weights=x, minlength=n_docs)
+
+        out = [
+            added(m).astype(np.int64) + 1,
+            added(m * (c[ids] > 0)).astype(np.int64) + (model.end > 0),
+            added(m * np.log10((c + 0.5) / model.norm)[ids]) + model.base_end,
+            model.texts(doc, ids, m, n_docs, model.logs(c, by_kind, spelling)) / math.log(10),
+            (added(m * pieces[ids]) + np.log(model.end_chance)) / math.log(10),
+        ]
+        return pa.table([left.column("doc_id"), left.column("held_out"), *map(pa.array, out)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "lattice_score"])
+
+    valued = words.mapInArrow(spelled, f"word binary, c long, {', '.join(c + ' long' for c in _WORD_COUNTS)}, plain double, own double")
+    numbers = seen.select(F.col("batch").alias("of_batch"), "word", "wid").join(valued, "word").drop("word")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, lattice_score double"
+    found = texts.select("batch", "doc_id", "held_out", "ids", "counts").groupBy("batch").cogroup(numbers.groupBy("of_batch")).applyInArrow(score, schema)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model.n)).cast("long").alias("train_tokens"), "base_score", "score", "lattice_score")

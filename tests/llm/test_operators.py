@@ -299,20 +299,69 @@ def test_lattice_sums_over_all_ways():
     assert sum(len(p) * x for p, x in counts.items()) == pytest.approx(4)
 
 
+def longhand(pieces, text):
+    """Sum over all ways to cut text, written out."""
+    if not text:
+        return 1.0
+    total = sum(math.exp(p) * longhand(pieces, text[len(s) :]) for s, p in pieces.logp.items() if text.startswith(s))
+    return total if text[0] in pieces.logp else total + math.exp(pieces.byte * len(text[0].encode())) * longhand(pieces, text[1:])
+
+
 def test_lm_scoring(spark):
+    """Every column against a model written out in plain Python: all cuts by recursion, texts token by token."""
     rng = random.Random(9)
-    words = ["alpha", "beta", "gamma", "delta", "Éta", "x" * 300, "日本"]
-    rows = [(i, " ".join(rng.choices(words, k=rng.randint(1, 30)) + ([f"new{i}"] if i % 7 == 0 else []))) for i in range(150)] + [(300 + i, t) for i, t in ODD if i is not None] + [(None, "alpha beta")]
-    scores = lattice.read_scores(public_tokenizers.path("piece_bpe_32k.model"))
+    words = ["alpha", "beta", "gamma", "delta", "Éta", "日本", "lalala"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(1, 30)) + ([f"new{i}"] if i % 7 == 0 else []))) for i in range(150)]
+    rows += [(300 + i, t) for i, t in ODD if i not in (None, 8, 9)] + [(None, "alpha beta"), (8, "word " * 400)]
+    scores = {"▁": -3.0, "▁al": -4.0, "al": -4.0, "la": -3.5, "l": -3.0, "a": -2.5, "p": -3.0, "ph": -4.0, "h": -3.2, "▁n": -4.0, "e": -2.0, "w": -4.0, "t": -3.0, "ta": -3.0, "m": -3.0}
     got = lattice.scored(docs(spark, rows), scores).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
-    split = lambda t: [*(t or "").encode().lower().split(), None]
-    counts = Counter(w for i, t in rows if not held(i) for w in split(t))
-    n, v = sum(counts.values()), len(counts)
-    want = sorted((str(i), held(i), len(split(t)), sum(counts[w] > 0 for w in split(t)), n, round(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in split(t)), 4)) for i, t in rows)
-    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    split = lambda t: (t or "").encode().lower().split()
+    train = [split(t) for i, t in rows if not held(i)]
+    counts = Counter(w for t in train for w in [*t, None])
+    n, v, ends = sum(counts.values()), len(counts), counts[None]
+    seen = {w: c for w, c in counts.items() if w is not None}
+    ones, twos = (sum(c == x for c in seen.values()) for x in (1, 2))
+    discount = ones / (ones + 2 * twos)
+    plain = lattice.Lattice(scores)
+    expected = {}
+    for w in seen:
+        plain.expect(w.decode(), expected)
+    fitted = plain.refitted(expected, len(seen))
+    spell = lambda own, w: longhand(own, "▁" + w.decode()) * math.exp(own.last)
+    by_kind = [Counter() for _ in range(lattice.KINDS)]
+    for t in train:
+        by_kind[lattice.kind_of(Counter(t))].update([*t, None])
+    known = {w: {"plain": spell(plain, w), "p": max(counts[w] - discount, 0) / n + discount * len(seen) / n * spell(fitted, w)} for w in {w for _, t in rows for w in split(t)}}
+
+    def chance(kind, w):
+        back = max(1, sum(c == 1 for x, c in by_kind[kind].items() if x is not None))
+        return (by_kind[kind][w] + back * (ends / n if w is None else known[w]["p"])) / (sum(by_kind[kind].values()) + back)
+
+    def text_chance(tokens):
+        total = []
+        for kind in range(lattice.KINDS):
+            share = (by_kind[kind][None] + 1) / (ends + lattice.KINDS)
+            for strength in (None, *lattice.BURSTS):
+                log, before = math.log(share / (1 + len(lattice.BURSTS))), Counter()
+                for i, w in enumerate(tokens):
+                    log += math.log(chance(kind, w) if strength is None else (strength * chance(kind, w) + before[w]) / (strength + i))
+                    before[w] += 1
+                total.append(log)
+        return (max(total) + math.log(sum(math.exp(x - max(total)) for x in total))) / math.log(10)
+
+    want = []
+    for i, t in rows:
+        own = [*split(t), None]
+        base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own)
+        pieces = (sum(math.log(known[w]["plain"]) for w in own[:-1]) + math.log(ends / n)) / math.log(10)
+        want.append((str(i), held(i), len(own), sum(counts[w] > 0 for w in own), n, round(base, 4), round(text_chance(own), 4), round(pieces, 4)))
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4), round(r.lattice_score, 4)) for r in got) == sorted(want)
     assert lattice.scored(docs(spark, []), scores).count() == 0
+    blank = lattice.scored(docs(spark, [(2, ""), (3, None), (9, "unseen words"), (1, "held out")]), scores).collect()
+    assert all(math.isfinite(r.score) and r.score < 0 and math.isfinite(r.lattice_score) for r in blank) and len(blank) == 4
+    only_empty = lattice.scored(docs(spark, [(i, "") for i in range(2, 9)] + [(1, "x y")]), scores).collect()
+    assert all(math.isfinite(r.score) and r.score <= 0 for r in only_empty)
 
 
 def test_embeddings(spark):
@@ -440,21 +489,30 @@ def test_lm_scoring_of_long_tokens(spark):
     got = {r.doc_id: r.score for r in lattice.scored(docs(spark, train + asked), scores).collect()}
 
     counts = Counter(w for _, t in train for w in t.split())
-    table = spark.createDataFrame([(w.encode(), n, 0) for w, n in counts.items()], "word binary, c0 long, c1 long")
-    own = lattice.fitted(lattice.Lattice(scores), table, 2)
+    own, expected = lattice.Lattice(scores), {}
+    for w in counts:
+        own.expect(w, expected)
+    own = own.refitted(expected, len(counts))
     ones, twos, ends = sum(n == 1 for n in counts.values()), sum(n == 2 for n in counts.values()), len(train)
     total, discount = sum(counts.values()) + ends, ones / (ones + 2 * twos)
+    kinds = [[t.split() for _, t in train if lattice.kind_of(Counter(t.encode().split())) == k] for k in range(lattice.KINDS)]
 
     def log_sum(*x):
         return max(x) + math.log(sum(math.exp(v - max(x)) for v in x))
 
     for i, text in asked:
         chances = []
-        for k, (n_k, docs_k, back) in enumerate([(total, ends, max(1, ones)), (0, 0, 1)]):
-            x = math.log((docs_k + 1) / (ends + 2)) + math.log((docs_k + back * ends / total) / (n_k + back))
-            for w in text.split():
-                spelled = math.log(discount * len(counts) / total) + own[k].log_chance(w)
+        for ts in kinds:
+            inside = Counter(w for t in ts for w in t)
+            back, n_k = max(1, sum(n == 1 for n in inside.values())), inside.total() + len(ts)
+
+            def fallen_back(w, inside=inside, back=back, n_k=n_k):
+                spelled = math.log(discount * len(counts) / total) + own.log_chance(w)
                 any_kind = log_sum(spelled, math.log((counts[w] - discount) / total)) if counts[w] else spelled
-                x += (log_sum(any_kind + math.log(back), math.log(counts[w])) if counts[w] and k == 0 else any_kind + math.log(back)) - math.log(n_k + back)
-            chances.append(x)
+                return (log_sum(any_kind + math.log(back), math.log(inside[w])) if inside[w] else any_kind + math.log(back)) - math.log(n_k + back)
+
+            end = math.log((len(ts) + back * ends / total) / (n_k + back))
+            for strength in (None, *lattice.BURSTS):  # no word comes twice
+                x = math.log((len(ts) + 1) / (ends + lattice.KINDS) / (1 + len(lattice.BURSTS))) + end + sum(map(fallen_back, text.split()))
+                chances.append(x + (sum(math.log(strength / (strength + n)) for n in range(len(text.split()) + 1)) if strength else 0))
         assert got[i] == pytest.approx(log_sum(*chances) / math.log(10), rel=1e-9)
