@@ -36,11 +36,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each document the lines it had, those taken out, and a digest of the text that stays."""
-    docs = linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def op6_columns(docs: DataFrame) -> DataFrame:
+    """For each document the lines left, those taken out, and a digest of the text that stays; a null text has no lines and no digest."""
+    out = linededup.deduplicated(docs)
     removed = F.coalesce("removed_lines", F.array().cast("array<int>"))
-    return docs.select("doc_id", F.size(F.split("text", "\n")).alias("lines_left"), F.size(removed).alias("n_removed"), removed.alias("removed_lines"), F.sha2("text", 256).alias("text_sha256"))
+    lines = F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n")))
+    return out.select("doc_id", lines.alias("lines_left"), F.size(removed).alias("n_removed"), removed.alias("removed_lines"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

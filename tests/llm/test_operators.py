@@ -14,7 +14,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from lupaspark.llm import bpe, common, decontam, lattice, linededup, neardup, simhash, tokencounts, toxicity, urlfilter, warc
+from lupaspark.llm import bpe, common, decontam, lattice, linededup, neardup, queries, simhash, tokencounts, toxicity, urlfilter, warc
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 DOCS = "doc_id long, text string, lang string, component_id long, fp long, word string, h long"
@@ -150,8 +150,9 @@ def edits(a, b):
     return prev[-1]
 
 
-@pytest.mark.parametrize("most", [1, 2])
+@pytest.mark.parametrize("most", [1, 2, 3])
 def test_line_dedup(spark, most):
+    per = 9  # lines of 20 to 35 characters may differ by two or three edits
     rng = random.Random(5)
     lines = ["".join(rng.choice("abcdefgh 日é😀") for _ in range(rng.randint(18, 30))) for _ in range(12)]
     rows = []
@@ -172,17 +173,37 @@ def test_line_dedup(spark, most):
         first.setdefault(p[2], p[:2])
     order = sorted(first, key=lambda x: key(first[x]))
     rank = {x: n for n, x in enumerate(order)}
-    want = groups([(rank[a], rank[b]) for a in order for b in order if a < b and abs(len(a) - len(b)) <= most and edits(a, b) <= most], range(len(order)))
+    want = groups([(rank[a], rank[b]) for a in order for b in order if a < b and edits(a, b) <= min(most, max(1, min(len(a), len(b)) // per))], range(len(order)))
     gone = {(i, n): first[order[want[rank[x]]]] for i, n, x in places if first[order[want[rank[x]]]] != (i, n)}
-    got = {(r.doc_id, r.line_no): (r.kept_doc, r.kept_line) for r in linededup.duplicate_lines(docs(spark, rows).select("doc_id", "text"), most=most).collect()}
+    got = {(r.doc_id, r.line_no): (r.kept_doc, r.kept_line) for r in linededup.duplicate_lines(docs(spark, rows).select("doc_id", "text"), most=most, per=per).collect()}
     assert got == gone
-    out = linededup.deduplicated(docs(spark, rows), most=most)
+    out = linededup.deduplicated(docs(spark, rows), most=most, per=per)
     assert out.columns == [*docs(spark, []).columns, "removed_lines"]
     texts = sorted(((i, None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone)) for i, t in rows), key=str)
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == texts
     assert linededup.without_repeats(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_odd_cases(spark):
+    """Columns that clash with names used inside, null and empty texts, negative and missing ids, a very long line, and the query's own columns."""
+    long = "y" * 20_000
+    rows = [(-5, f"first line of all the lines\n{long}"), (None, "first line of all the lines\nanother line of some length"), (7, None), (8, ""), (9, f"{long}z\nshort\nshort"), (10, "another line of some length")]
+    df = spark.createDataFrame([(i, t, 1, 2, "a", 3, 9) for i, t in rows], "doc_id long, text string, removed_lines int, removed int, _gone_from string, row int, n_chars int")
+    out = {r.doc_id: r for r in linededup.deduplicated(df).collect()}
+    assert linededup.deduplicated(df).columns == ["doc_id", "text", "removed", "_gone_from", "row", "n_chars", "removed_lines"]
+    assert {i: r.removed_lines for i, r in out.items()} == {-5: [0], None: None, 7: None, 8: None, 9: [0], 10: [0]}
+    assert (out[-5].text, out[9].text, out[10].text, out[7].text, out[8].text) == (long, "short\nshort", "", None, "")
+    kept = linededup.without_repeats(df)
+    assert kept.columns == df.columns
+    assert {(r.doc_id, r.n_chars, r.removed_lines, r.row) for r in kept.collect()} == {(-5, 20_000, 1, 3), (None, 9, 1, 3), (7, 9, 1, 3), (8, 9, 1, 3), (9, 11, 1, 3)}
+    got = {(r.doc_id, r.line_no): (r.kept_doc, r.kept_line) for r in linededup.duplicate_lines(df).collect()}
+    assert got == {(-5, 0): (None, 0), (9, 0): (-5, 1), (10, 0): (None, 1)}
+    table = queries.op6_columns(df.select("doc_id", "text"))
+    assert {r.doc_id: (r.lines_left, r.n_removed, r.text_sha256) for r in table.collect()} == {
+        i: (None if r.text is None else len(r.text.split("\n")), len(r.removed_lines or []), None if r.text is None else hashlib.sha256(r.text.encode()).hexdigest()) for i, r in out.items()
+    }
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcdefghijklmn") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
