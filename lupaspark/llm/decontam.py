@@ -1,8 +1,9 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over windows of the whole item, exact edit verification."""
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH over windows of the whole item, exact edit verification; short items by exact phrase."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ STRIDE = 4
 WALK_WORDS = 24
 #: Fewest words, besides pads, in a key of an item: keys of pads alone would meet the end of every text.
 REAL_WORDS = 3
-#: Fewest words of an item: shorter ones are common phrases.
+#: Items of fewer words have too few positions to sample: they are looked for as exact phrases.
 MIN_WORDS = 8
 #: A copy of the shortest items may lack so many words.
 MAX_SHORT = 2
@@ -91,6 +92,24 @@ class Walks:
         return (out ^ (out >> np.uint64(32))).T
 
 
+def phrase_keys(words: np.ndarray, n: int) -> np.ndarray:
+    """A key of each run of n words (fewer than MIN_WORDS), by its first word."""
+    out = np.full(max(0, len(words) - n + 1), n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(n):
+            out = (out ^ words[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out
+
+
+def may_hold(item: Counter[str], n: int, words: list[str], most: int) -> bool:
+    """Whether so many of the item's n words occur among words as any span within `most` edits must have."""
+    have = item.keys() & {*words}
+    if n - sum(map(item.__getitem__, have)) > most:
+        return False
+    return n - (item & Counter(words)).total() <= most
+
+
 def best_span(item: list[str], text: list[str], most: int) -> tuple[int, int, int] | None:
     """(edits, start, stop) of the span of text that is the fewest word edits from item, if those are at most `most`; the earliest such end, then the longest such span."""
 
@@ -124,12 +143,12 @@ def best_span(item: list[str], text: list[str], most: int) -> tuple[int, int, in
 
 
 def _item_words(items: DataFrame) -> DataFrame:
-    """(item_id, words) of the items that are long enough."""
+    """(item_id, words) of the items that have words, each once; an item_id may have several texts."""
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             found = [(item, words_of(text or "")) for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            found = [(item, words) for item, words in found if len(words) >= MIN_WORDS]
+            found = [(item, words) for item, words in found if words]
             yield pa.record_batch([pa.array([i for i, _ in found], pa.int64()), pa.array([" ".join(w) for _, w in found], pa.string())], names=["item_id", "words"])
 
     return items.select(F.col("item_id").cast("long"), "text").mapInArrow(rows, "item_id long, words string").distinct()
@@ -148,6 +167,9 @@ def _item_keys(items: DataFrame, max_edits: float) -> DataFrame:
         for b in it:
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = text.split(" ")
+                if len(words) < MIN_WORDS:
+                    yield pa.record_batch([pa.array(phrase_keys(hashed(words, {}), len(words)).view(np.int64)), pa.array([0], pa.int32()), pa.array([item], pa.int64())], names=["key", "skip", "item_id"])
+                    continue
                 starts = item_starts(len(words), max_edits)
                 real = np.zeros((WALKS * SAMPLES, len(starts)), dtype=np.int64)
                 keys = walks.keys(hashed(words, {}), starts, _stops(starts, np.full(len(starts), len(words))), real).view(np.int64)
@@ -175,12 +197,13 @@ def _stops(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.minimum(starts + WALK_WORDS, ends)
 
 
-def leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, id_type: str = "long") -> DataFrame:
     """(doc_id, item_id, edits, item_words, start_word, n_words): where a text holds an item or a near copy of it.
 
     Words are runs of letters, digits and underscores, in lower case. A copy is a span of at most max_edits * words of the item insertions, removals or
     replacements of words; of an item's copies in a document the nearest is returned, the first among equals.
-    Items under MIN_WORDS words and null texts have no copies. Equal doc_ids are one document.
+    Items under MIN_WORDS words are found as exact phrases. Null texts and items without words have no copies. Equal doc_ids are one document; an item_id with several
+    texts stands for each of them, a null item_id too. Rows without doc_id are left out here, but not in `clean`. doc_id is cast to id_type.
 
     Windows whose keys may be an item's (by two tables of fixed size that tasks hold) go on to the join, with the words around them;
     the exact edit distance then decides.
@@ -189,9 +212,12 @@ def leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> Da
     known = written(_item_words(items), "items")
     longest = known.agg(F.max(F.size(F.split("words", " ")))).first()[0]
     if longest is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, edits int, item_words int, start_word int, n_words int")
+        return spark.createDataFrame([], f"doc_id {id_type}, item_id long, edits int, item_words int, start_word int, n_words int")
+    phrases = sorted(r[0] for r in known.select(F.size(F.split("words", " ")).alias("n")).where(F.col("n") < MIN_WORDS).distinct().collect())  # lengths
+    ids = pa.int64() if id_type == "long" else pa.string()
     keyed = written(_item_keys(known, max_edits), "item-keys")
     sent = spark.sparkContext.broadcast([_key_table(keyed, 0), _key_table(keyed, _SECOND)])
+    fewest = min([*phrases, MIN_WORDS - MAX_SHORT])
     walks, margin = Walks(), int(longest * (1 + max_edits)) + WALK_WORDS // 2
 
     def windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,26 +230,38 @@ def leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> Da
             begins = ends - sizes
             h = np.concatenate([hashed(w, memo) for _, w in texts])
             starts = np.concatenate([np.arange(a, z, STRIDE) for a, z in zip(begins.tolist(), ends.tolist(), strict=True)])
-            of = np.searchsorted(ends, starts, side="right")
-            keys = walks.keys(h, starts, _stops(starts, ends[of])).view(np.int64)
+            keys = walks.keys(h, starts, _stops(starts, ends[np.searchsorted(ends, starts, side="right")])).view(np.int64)
             at, which = np.nonzero(_in_table(first, keys, 0))
             both = _in_table(second, keys[at, which], _SECOND)
-            at, which = at[both], which[both]
-            if not len(at):
+            found, key = [starts[at[both]]], [keys[at[both], which[both]]]
+            for n in phrases:
+                keys = phrase_keys(h, n).view(np.int64)
+                at = np.flatnonzero(_in_table(first, keys, 0))
+                at = at[_in_table(second, keys[at], _SECOND)]
+                text = np.searchsorted(ends, at, side="right")
+                inside = at + n <= ends[text]
+                at, text = at[inside], text[inside]
+                once = np.unique(np.stack([text, keys[at]]), axis=1, return_index=True)[1]  # a phrase counts where it first stands in a text
+                found.append(at[once])
+                key.append(keys[at[once]])
+            start, key = np.concatenate(found), np.concatenate(key)
+            if not len(start):
                 return None
-            hits, begun = np.unique(at, return_index=True)  # at is in order
-            own = pa.ListArray.from_arrays(pa.array(np.append(begun, len(at)), pa.int32()), pa.array(keys[at, which]))
-            pos = starts[hits] - begins[of[hits]]
+            order = np.argsort(start, kind="stable")
+            start, key = start[order], key[order]
+            start, begun = np.unique(start, return_index=True)
+            own = pa.ListArray.from_arrays(pa.array(np.append(begun, len(key)), pa.int32()), pa.array(key))
+            of = np.searchsorted(ends, start, side="right")
+            pos = start - begins[of]
             lows = np.maximum(0, pos - margin)
-            around = [" ".join(texts[t][1][lo : p + margin]) for t, lo, p in zip(of[hits].tolist(), lows.tolist(), pos.tolist(), strict=True)]
-            ids = [texts[t][0] for t in of[hits].tolist()]
-            return pa.record_batch([pa.array(ids, pa.int64()), own, pa.array(pos, pa.int32()), pa.array(lows, pa.int32()), pa.array(around)], names=["doc_id", "keys", "pos", "low", "around"])
+            around = [" ".join(texts[t][1][lo : p + margin]) for t, lo, p in zip(of.tolist(), lows.tolist(), pos.tolist(), strict=True)]
+            return pa.record_batch([pa.array([texts[t][0] for t in of.tolist()], ids), own, pa.array(pos, pa.int32()), pa.array(lows, pa.int32()), pa.array(around)], names=["doc_id", "keys", "pos", "low", "around"])
 
         for b in it:
             texts, held = [], 0
             for i in range(b.num_rows):
                 words = words_of((b.column(1)[i].as_py() or b"").decode("utf-8", "replace"))
-                if len(words) < MIN_WORDS - MAX_SHORT:
+                if len(words) < fewest:
                     continue
                 texts.append((b.column(0)[i].as_py(), words))
                 held += len(words)
@@ -234,7 +272,7 @@ def leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> Da
             if texts and (out := walked(texts)) is not None:
                 yield out
 
-    probes = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(windows, "doc_id long, keys array<long>, pos int, low int, around string")
+    probes = docs.where("doc_id is not null").select(F.col("doc_id").cast(id_type), F.col("text").cast("binary")).mapInArrow(windows, f"doc_id {id_type}, keys array<long>, pos int, low int, around string")
     probes = written(probes, "windows")
     begin = (F.col("pos") - F.col("skip")).alias("begin")
     places = probes.select("doc_id", "pos", F.explode("keys").alias("key")).join(keyed, "key").groupBy("doc_id", "item_id", begin).agg(F.min("pos").alias("pos"))
@@ -243,23 +281,34 @@ def leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> Da
 
     def verified(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "item_id", "edits", "item_words", "start_word", "n_words"]
+        split: dict[str, tuple[list[str], Counter[str]]] = {}
         for b in it:
             out = []
+            if len(split) > 10_000:
+                split.clear()
             for doc, item, begin, low, around, words in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                own = words.split(" ")
-                most = int(len(own) * max_edits)
-                slack = most + WALK_WORDS // 2  # walks may meet out of step
+                if words not in split:
+                    split[words] = (own := words.split(" ")), Counter(own)
+                own, bag = split[words]
+                short = len(own) < MIN_WORDS
+                most = 0 if short else int(len(own) * max_edits)
+                slack = 0 if short else most + WALK_WORDS // 2  # walks may meet out of step
                 near = max(low, begin - slack)
-                if found := best_span(own, around.split(" ")[near - low : begin + len(own) + slack - low], most):
+                text = around.split(" ")[near - low : begin + len(own) + slack - low]
+                if may_hold(bag, len(own), text, most) and (found := best_span(own, text, most)):
                     out.append((doc, item, found[0], len(own), near + found[1], found[2] - found[1]))
             if out:
-                yield pa.record_batch([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(zip(*out, strict=True))], names=names)
+                kinds = [ids, pa.int64(), *[pa.int32()] * 4]
+                yield pa.record_batch([pa.array(c, k) for k, c in zip(kinds, zip(*out, strict=True), strict=True)], names=names)
 
-    schema = "doc_id long, item_id long, edits int, item_words int, start_word int, n_words int"
+    schema = f"doc_id {id_type}, item_id long, edits int, item_words int, start_word int, n_words int"
     best = F.min(F.struct("edits", "start_word", "n_words", "item_words")).alias("best")
     return pairs.mapInArrow(verified, schema).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.edits", "best.item_words", "best.start_word", "best.n_words")
 
 
 def clean(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
-    """The rows of docs without a copy of an item; columns as in docs. Rows without doc_id stay."""
-    return docs.join(leaks(docs, items, max_edits).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs without a copy of an item; columns as in docs. Equal doc_ids are one document; rows without one are told apart by their text."""
+    name = F.coalesce(F.concat(F.lit("id"), F.col("doc_id").cast("string")), F.concat(F.lit("text"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.alias("name"))
+    found = leaks(docs.select(name.alias("doc_id"), "text"), items, max_edits, "string").select(F.col("doc_id").alias("name")).distinct()
+    return rows.join(found, "name", "left_anti").select(*[F.col(f"row.`{c}`") for c in docs.columns])
