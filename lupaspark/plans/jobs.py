@@ -215,10 +215,13 @@ def j12_payroll_match(t):
     return R.payroll_match(s.select(F.col("id").alias("person"), "name", "organ"), pay, G.closure(t.organs())).select("person", "row_id", "criterion", "reason")
 
 
-@query("SELECT n_nationkey AS act, n_nationkey AS target FROM nation")
+@query("SELECT c_custkey AS act, c_custkey AS target FROM customer WHERE c_custkey % 5 <> 0")
 def j20_symmetric_terms(t):
-    n = t.nation.select(F.col("n_nationkey").alias("act"), F.concat(F.lit("substituto "), _word("n_nationkey"), F.lit("qz obras")).alias("text"))
-    return R.symmetric_terms(n, n.select(F.col("act").alias("target"), F.regexp_replace("text", "substituto ", "").alias("text")), ["substitut"])
+    """Optional words on either side or both; one target in five has a word more that is none."""
+    n, word = F.col("c_custkey"), F.concat(_word("c_custkey"), F.lit("qz obras"))
+    acts = F.when(n % 2 == 0, F.concat(F.lit("Substituto de "), word)).otherwise(word)
+    targets = F.when(n % 5 == 0, F.concat(word, F.lit(" hidricas"))).when(n % 3 == 0, F.concat(word, F.lit(", adjunto"))).otherwise(word)
+    return R.symmetric_terms(t.customer.select(n.alias("act"), acts.alias("text")), t.customer.select(n.alias("target"), targets.alias("text")), ["substitut", "adjunt"])
 
 
 @query("SELECT s_suppkey AS raw_id, s_suppkey AS org FROM supplier")
@@ -228,10 +231,12 @@ def j21_abbrev_match(t):
     return s.select(F.col("org").alias("raw_id"), "raw").join(got, "raw").select("raw_id", "org")
 
 
-@query("SELECT o_orderkey, CASE WHEN n = 1 THEN id END AS canonical_id FROM orders LEFT JOIN (SELECT p_size, min(p_partkey) AS id, count(*) AS n FROM part WHERE p_partkey <= 60 GROUP BY 1) ON p_size = o_custkey % 50 + 1")
+@query("SELECT c_custkey, CASE WHEN n = 1 THEN id END AS canonical_id FROM customer LEFT JOIN (SELECT floor(c_acctbal) AS k, min(c_custkey) AS id, count(*) AS n FROM customer GROUP BY 1) ON k = floor(c_acctbal)")
 def j22_canonical_ids(t):
-    reg = t.part.where("p_partkey <= 60").select(F.lit(1).alias("layer"), F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("size"))
-    return R.canonical_ids(t.orders.select("o_orderkey", (F.col("o_custkey") % 50 + 1).alias("size")), reg, ["size"]).select("o_orderkey", "canonical_id")
+    """Balances in full units name a customer where no other has the same."""
+    key = F.floor("c_acctbal").cast("long").alias("size")
+    reg = t.customer.select(F.lit(1).alias("layer"), F.col("c_custkey").alias("id"), key)
+    return R.canonical_ids(t.customer.select("c_custkey", key), reg, ["size"]).select("c_custkey", "canonical_id")
 
 
 @query(f"SELECT a.org, a.n AS before, coalesce(b.n, 0) AS after FROM (SELECT org, count(*) AS n FROM {SPENDING} s WHERE year = 1996 GROUP BY org) a LEFT JOIN (SELECT org, count(*) AS n FROM {SPENDING} s WHERE year = 1997 GROUP BY org) b USING (org) WHERE coalesce(b.n, 0) < a.n")
