@@ -8,11 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys of more than one row in so many are joined by broadcast; there are no more than so many of them.
+HEAVY = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: the session's spark.checkpoint.dir. Where that is unset, one of our own if driver and executors are one machine, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lupaspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -40,6 +45,24 @@ def written_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def looked_up(left: DataFrame, right: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """Inner join of left with right(keys, n, ...), whose keys are unique and stand in n rows of left, that no frequent key brings to one task.
+
+    Keys of more than one row in HEAVY are at most HEAVY, so that their part of right is broadcast; rows that find theirs there are dealt by
+    `spread`, an expression, in the join with the others. Left's rows are read and shuffled once.
+    """
+    least = (right.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long")).first()[0]) // HEAVY
+    values = [c for c in right.columns if c not in keys and c != "n"]
+    heavy = right.where(F.col("n") > max(least, 1)).select(*[F.col(k).alias(f"_heavy_{k}") for k in keys], F.struct(*values).alias("_heavy"))
+    found = left.join(F.broadcast(heavy), [F.col(k) == F.col(f"_heavy_{k}") for k in keys], "left").drop(*[f"_heavy_{k}" for k in keys])
+    light = right.where(F.col("n") <= max(least, 1)).select(*[F.col(k).alias(f"_light_{k}") for k in keys], F.lit(0).cast("long").alias("_light_at"), F.struct(*values).alias("_light"))
+    # A key of light rows has place 0; a row with its answer has a place of its own, and so no partner.
+    found = found.withColumn("_at", F.when(F.col("_heavy").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.expr(spread)).bitwiseOR(F.lit(1))))
+    joined = found.join(light, [*[F.col(k) == F.col(f"_light_{k}") for k in keys], F.col("_at") == F.col("_light_at")], "left")
+    value = F.coalesce("_heavy", "_light")
+    return joined.where(value.isNotNull()).select(*left.columns, *[value[v].alias(v) for v in values])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b) that is not the smallest of its component.
 

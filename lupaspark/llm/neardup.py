@@ -7,19 +7,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lupaspark.llm.common import connected_components, written
+from lupaspark.llm.common import connected_components, looked_up, written
 
 COSINE = 0.9
-#: Tables, and buckets of each that a vector visits: its own and the next likeliest.
+#: Tables (see tables_for), and buckets of each that a vector visits: its own and the next likeliest.
 TABLES, PROBES = 12, 3
 #: Members of a bucket that are compared at a time; a larger bucket is dealt out as pairs of blocks of so many.
 BLOCK = 512
 SEED = 1_700_001
 
 
+def tables_for(parts: int) -> int:
+    """Tables that keep the recall of pairs at the least cosine near 0.98 as hashes take more rotations: each rotation about halves the chance that two buckets agree."""
+    return max(TABLES, math.ceil(14 * 1.9 ** (parts - 3)))
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of the rows, whose length is a power of two, scaled to keep their norms."""
     n, d = x.shape
@@ -104,20 +109,27 @@ def _spread(links: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[int],
     return ids[far].tolist(), ids[least[far]].tolist()
 
 
+def _counts(id_col: str, vec_col: str) -> Column:
+    """Whether a row can have links: an id, and components that are finite and not all zero."""
+    whole = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    return F.coalesce(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & whole & F.exists(vec_col, lambda x: x != 0), F.lit(False))
+
+
+def _plain(vec_col: str) -> Column:
+    return F.transform(F.col(vec_col).cast("array<double>"), lambda x: x + F.lit(0.0))  # one zero, not two
+
+
 def distinct_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(rep, copies, embedding array<double>): equal vectors once, by smallest id; null, zero and non-finite ones are left out."""
-    v = F.col(vec_col).cast("array<double>")
-    whole = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    ok = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & F.coalesce(whole, F.lit(False))).where(F.exists(vec_col, lambda x: x != 0))
-    plain = F.transform(v, lambda x: x + F.lit(0.0))  # one zero, not two
-    return ok.select(F.col(id_col).cast("long").alias("id"), plain.alias("embedding")).groupBy("embedding").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"))
+    ok = vectors.where(_counts(id_col, vec_col))
+    return ok.select(F.col(id_col).cast("long").alias("id"), _plain(vec_col).alias("embedding")).groupBy("embedding").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"))
 
 
-def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def links(reps: DataFrame, cosine: float = COSINE, probes: int = PROBES) -> DataFrame:
     """(kind, a, b): counted links of distinct vectors (kind 0: rep a has b links to it or its copies) and links that span their groups (kind 1).
 
     Each vector is a member of its own bucket of each table and a guest of the buckets it probes; members meet members and
-    guests. The hash has as many rotations as make about one bucket for each vector. A pair meets in several buckets and
+    guests. The hash has as many rotations as make about one bucket for each vector, and as many tables as they need. A pair meets in several buckets and
     counts in the first of them, which both vectors' codes tell. A bucket of many is split into pairs of blocks; only sums and
     spanning links leave a task, so that a large group never becomes a row for each of its pairs.
     """
@@ -126,8 +138,10 @@ def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes:
     sizes = [(r[0], r[1]) for r in reps.groupBy(F.size("embedding").alias("d")).count().collect()]
     parts = {d: max(1, round(math.log(max(n, 2)) / math.log(2 * (1 << max(2, (d - 1).bit_length()))))) for d, n in sizes}
 
+    tables_of = {d: tables_for(p) for d, p in parts.items()}
+
     def entries(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = {d: CrossPolytope(d, p, tables, probes) for d, p in parts.items()}
+        hashes = {d: CrossPolytope(d, p, tables_of[d], probes) for d, p in parts.items()}
         for whole in it:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
@@ -135,9 +149,9 @@ def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes:
                 for d in sorted({len(v) for v in lists}):
                     rows = [i for i, v in enumerate(lists) if len(v) == d]
                     x = np.array([lists[i] for i in rows], dtype=np.float64)
-                    x /= np.abs(x).max(axis=1, keepdims=True)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    codes = hashes[d].buckets(x)
+                    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])  # by powers of two: cosines stay as they are
+                    codes = hashes[d].buckets(x / np.linalg.norm(x, axis=1, keepdims=True))
+                    tables = tables_of[d]
                     n, m = len(rows), tables * probes
                     names, seen = np.repeat(np.arange(tables), probes), np.tile(np.arange(probes), tables)
                     pick = np.repeat(np.arange(n), m)
@@ -147,42 +161,43 @@ def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes:
                             pa.array(b.column(0).to_numpy()[rows][pick]), pa.array(b.column(1).to_numpy()[rows][pick]),
                             pa.array([x[i].tobytes() for i in range(n)]).take(pa.array(pick)), pa.array([codes[i].tobytes() for i in range(n)]).take(pa.array(pick)),
                         ],
-                        names=["d", "t", "bucket", "guest", "rep", "copies", "unit", "codes"],
+                        names=["d", "t", "bucket", "guest", "rep", "copies", "x", "codes"],
                     )
 
-    fields = "d int, t int, bucket long, guest boolean, rep long, copies long, unit binary, codes binary"
+    fields = "d int, t int, bucket long, guest boolean, rep long, copies long, x binary, codes binary"
     rows = reps.select("rep", "copies", "embedding").mapInArrow(entries, fields)
     bucket = ["d", "t", "bucket"]
     # Buckets with one vector hold no pair; large ones are split. Both are told from counts of keys alone.
     sizes_of = rows.groupBy(*bucket).agg(F.count("*").alias("n"), F.sum((~F.col("guest")).cast("int")).alias("own")).where("n > 1 and own > 0").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = rows.join(sizes_of, bucket).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), "blocks").cast("int"))
+    dealt = looked_up(rows, sizes_of.select(*bucket, "n", "blocks"), bucket, "rep").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), "blocks").cast("int"))
     # Block pair (i, j) with i <= j goes to one group; a block takes part in as many groups as there are blocks.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).select(*bucket, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "guest", "rep", "copies", "unit", "codes")
+    dealt = dealt.withColumn("other", other).select(*bucket, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "guest", "rep", "copies", "x", "codes")
     group = [*bucket, "i", "j"]
     ordered = dealt.repartition(*[F.col(c) for c in group]).sortWithinPartitions(*group)
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(key: tuple, block: np.ndarray, guest: np.ndarray, rep: np.ndarray, copies: np.ndarray, unit: list, codes: list) -> tuple[list, list, list]:
+        def pairs(key: tuple, block: np.ndarray, guest: np.ndarray, rep: np.ndarray, copies: np.ndarray, packed: list, codes: list) -> tuple[list, list, list]:
             d, t, _, i, j = key
             first = np.flatnonzero(block == i)
             second = first if i == j else np.flatnonzero(block == j)
             if not len(first) or not len(second):
                 return [], [], []
-            x = np.frombuffer(b"".join(unit), dtype=np.float64).reshape(len(unit), d)
-            close = x[first] @ x[second].T >= cosine - 1e-12
+            x = np.frombuffer(b"".join(packed), dtype=np.float64).reshape(len(packed), d)
+            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+            close = unit[first] @ unit[second].T >= cosine - 1e-9
             close &= ~(guest[first][:, None] & guest[second][None, :]) & (rep[first][:, None] != rep[second][None, :])
             if i == j:
                 close &= np.triu(np.ones(close.shape, dtype=bool), 1)
             r, c = np.nonzero(close)
             if not len(r):
                 return [], [], []
-            # In double precision as the definition has it, and only where the pair meets first.
+            # In double precision from the given components, and only where the pair meets first.
             a, b = x[first[r]], x[second[c]]
             exact = (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1)) >= cosine
             close[r[~exact], c[~exact]] = False
             r, c = r[exact], c[exact]
-            code = np.frombuffer(b"".join(codes), dtype=np.int64).reshape(len(codes), tables, probes)
+            code = np.frombuffer(b"".join(codes), dtype=np.int64).reshape(len(codes), tables_of[d], probes)
             earlier = np.zeros(len(r), dtype=bool)
             here = np.zeros(len(r), dtype=np.int64)
             for at in range(t + 1):
@@ -210,7 +225,7 @@ def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes:
 
         def done() -> pa.RecordBatch | None:
             t = pa.Table.from_batches(held).combine_chunks()
-            got = pairs(now, *(t.column(k).to_numpy() for k in ("block", "guest", "rep", "copies")), t.column("unit").to_pylist(), t.column("codes").to_pylist())
+            got = pairs(now, *(t.column(k).to_numpy() for k in ("block", "guest", "rep", "copies")), t.column("x").to_pylist(), t.column("codes").to_pylist())
             return pa.record_batch([pa.array(got[0], pa.int32()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.int64())], names=["kind", "a", "b"]) if got[0] else None
 
         for b in it:
@@ -242,8 +257,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     found = written(links(reps, cosine), "vector-links")
     counts = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n")).select(F.col("a").alias("rep"), "n")
     groups = connected_components(found.where("kind = 1").select("a", "b")).withColumnRenamed("node", "rep")
-    told = reps.join(counts, "rep", "left").join(groups, "rep", "left").select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    key = F.transform(F.col(vec_col).cast("array<double>"), lambda x: x + F.lit(0.0))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.col(id_col).isNotNull(), key).alias("embedding"))
-    out = rows.join(told, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    name = [F.xxhash64("embedding").alias("h"), F.xxhash64(F.lit(7), "embedding").alias("g")]  # two hashes tell vectors apart
+    told = reps.join(counts, "rep", "left").join(groups, "rep", "left").select(*name, F.col("copies").alias("n"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(_counts(id_col, vec_col), _plain(vec_col)).alias("embedding"))
+    out = looked_up(rows.where("embedding is not null").select("vec_id", *name), written(told, "vectors-told"), ["h", "g"], "vec_id").select("vec_id", "n_links", "component_id")
+    alone = rows.where("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = out.withColumn("n_links", F.col("n_links").cast("long")).unionByName(alone)
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

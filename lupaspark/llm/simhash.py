@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lupaspark.llm.common import connected_components, written
+from lupaspark.llm.common import connected_components, looked_up, written
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -97,10 +97,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names no group: such a row takes the group of its fingerprint, null if it has no other row.
     """
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     groups = connected_components(links(reps.where("rep is not null")))
-    by_fp = reps.join(groups, reps.rep == groups.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    by_fp = reps.join(groups, reps.rep == groups.node, "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
+    return looked_up(fps, by_fp, ["fp"], "doc_id").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lupaspark.llm.common import scratch_path, written
+from lupaspark.llm.common import looked_up, scratch_path, written
 
 #: Payloads under this size are always stored: a revisit record would save nothing.
 MIN_REVISIT_BYTES = 100
@@ -90,7 +90,7 @@ def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "pag
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     ids = rows.where(F.length("payload") >= MIN_REVISIT_BYTES).select("page_id", "digest")
     firsts = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    revisits = ids.join(firsts, "digest").where("not page_id <=> first").select(F.col("page_id").alias("revisit_id"), F.col("digest").alias("revisit_digest"), F.col("first").alias("refers_to")).distinct()
+    revisits = looked_up(ids, firsts, ["digest"], "page_id").where("not page_id <=> first").select(F.col("page_id").alias("revisit_id"), F.col("digest").alias("revisit_digest"), F.col("first").alias("refers_to")).distinct()
     ready = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("revisit_id")) & (F.col("digest") == F.col("revisit_digest")), "left")
 
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,6 +39,17 @@ def groups(links, nodes):
     return {n: find(n) for n in nodes}
 
 
+def test_looked_up(spark):
+    """A key of most rows, light keys, keys that one side lacks, and null keys: the rows of a plain join."""
+    left = spark.createDataFrame([(i, None if i % 11 == 0 else 0 if i % 3 else i % 50, i) for i in range(3000)], "id long, k long, n long")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).where("k is not null and k <> 7").withColumn("v", F.when(F.col("k") % 2 == 0, F.col("k") * 10))
+    got = common.looked_up(left, right, ["k"], "id")
+    assert got.columns == ["id", "k", "n", "v"]
+    want = left.join(right.select("k", "v"), "k").select("id", "k", "n", "v")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert common.looked_up(left, right.limit(0), ["k"], "id").count() == 0
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)] + [(5, 5)]
@@ -417,6 +428,22 @@ def test_embeddings(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3, 4])
+def test_embeddings_recall_by_rotations(parts):
+    """Pairs of cosine 0.90 to 0.92 that share a bucket of which one is a member, for as many rotations as larger inputs bring."""
+    rng = np.random.default_rng(parts)
+    a, b = rng.normal(size=(2, 1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9, 0.92, size=(1500, 1))
+    lsh = neardup.CrossPolytope(64, parts, neardup.tables_for(parts))
+    p, q = lsh.buckets(a), lsh.buckets(cosine * a + np.sqrt(1 - cosine**2) * b)
+    met = ((p == q[:, :, :1]).any(axis=2) | (q == p[:, :, :1]).any(axis=2)).any(axis=1)
+    print(parts, neardup.tables_for(parts), met.mean())
+    assert met.mean() >= 0.96
+
+
 def test_embeddings_large_group(spark):
     rng = np.random.default_rng(11)
     one = rng.normal(size=32)
