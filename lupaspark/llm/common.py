@@ -58,7 +58,7 @@ def looked_up(left: DataFrame, right: DataFrame, keys: list[str], spread: str) -
     light = right.where(F.col("n") <= max(least, 1)).select(*[F.col(k).alias(f"_light_{k}") for k in keys], F.lit(0).cast("long").alias("_light_at"), F.struct(*values).alias("_light"))
     # A key of light rows has place 0; a row with its answer has a place of its own, and so no partner.
     found = found.withColumn("_at", F.when(F.col("_heavy").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.expr(spread)).bitwiseOR(F.lit(1))))
-    joined = found.join(light, [*[F.col(k) == F.col(f"_light_{k}") for k in keys], F.col("_at") == F.col("_light_at")], "left")
+    joined = found.join(light.hint("merge"), [*[F.col(k) == F.col(f"_light_{k}") for k in keys], F.col("_at") == F.col("_light_at")], "left")
     value = F.coalesce("_heavy", "_light")
     return joined.where(value.isNotNull()).select(*left.columns, *[value[v].alias(v) for v in values])
 
