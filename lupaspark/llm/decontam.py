@@ -20,12 +20,14 @@ MAX_EDITS = 0.2
 WALKS, SAMPLES, BITS = 6, 6, 5
 #: Windows of texts begin at every STRIDE-th word. Items are entered with windows at every word, so that each stretch of a copy has windows in step.
 STRIDE = 4
-#: Words that a walk reads at most; the end of an item ends it earlier.
+#: Words that a walk reads on average, in twice as many steps; the end of a text ends it earlier.
 WALK_WORDS = 24
 #: Fewest words, besides pads, in a key of an item: keys of pads alone would meet the end of every text.
 REAL_WORDS = 3
-#: Items of fewer words have too few positions to sample: they are looked for as exact phrases.
+#: Items of fewer words are common phrases: they are looked for without edits.
 MIN_WORDS = 8
+#: Items of fewer words have too few positions to sample: they fall into one part more than edits allowed, and a part is looked for as a phrase.
+MIN_WALKED = 20
 #: A copy of the shortest items may lack so many words.
 MAX_SHORT = 2
 #: Bits of each of the two tables of item keys that tasks hold, whatever the number of items.
@@ -43,13 +45,18 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def hashed(words: list[str], memo: dict[str, int]) -> np.ndarray:
-    """32-bit hashes of the words; memo is bounded."""
+class Memo(dict):
+    """32-bit hashes of words, each found when it is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word) & 0xFFFFFFFF
+        return h
+
+
+def hashed(words: list[str], memo: Memo) -> np.ndarray:
+    """Hashes of the words; memo is bounded."""
     if len(memo) > MEMO:
         memo.clear()
-    for w in words:
-        if w not in memo:
-            memo[w] = xxhash.xxh64_intdigest(w) & 0xFFFFFFFF
     return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
@@ -69,10 +76,15 @@ class Walks:
         self.picks = [[np.sort(rng.choice(int(self.steps * r), BITS, replace=False)) for r in reach] for _ in range(WALKS)]
         self.mix = rng.integers(1, 2**63, size=(WALKS, SAMPLES, BITS), dtype=np.uint64) | np.uint64(1)
 
-    def keys(self, words: np.ndarray, starts: np.ndarray, stops: np.ndarray, real: np.ndarray | None = None) -> np.ndarray:
-        """Keys (window, walk and sample) of the windows words[start:stop]; beyond a window's stop the walk reads a pad. real(walk and sample, window) counts the words in each key."""
+    def laid(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts one after another, each followed by as many pads as a walk may read, and where they begin."""
+        pads = np.full(self.steps, _PAD, dtype=np.uint64)
+        sizes = np.array([len(t) + self.steps for t in texts])
+        return np.concatenate([x for t in texts for x in (t, pads)]), np.cumsum(sizes) - sizes
+
+    def keys(self, words: np.ndarray, starts: np.ndarray, end: int | None = None, real: np.ndarray | None = None) -> np.ndarray:
+        """Keys (window, walk and sample) of the windows that begin at starts. real(walk and sample, window) counts the words before end in each key."""
         out = np.zeros((WALKS * SAMPLES, len(starts)), dtype=np.uint64)
-        padded = np.append(words, np.uint64(_PAD))
         with np.errstate(over="ignore"):
             for w in range(WALKS):
                 taken: dict[int, list[tuple[int, np.uint64]]] = {}
@@ -81,19 +93,32 @@ class Walks:
                         taken.setdefault(step, []).append((w * SAMPLES + s, self.mix[w, s, b]))
                 at = starts.copy()
                 for step in range(max(taken) + 1):
-                    c = padded[np.where(at < stops, at, len(words))]
+                    c = words.take(at)
                     for row, mix in taken.get(step, ()):
                         out[row] += (c ^ np.uint64(step + 1)) * mix
                         if real is not None:
-                            real[row] += at < stops
-                    at += ((c * self.coins[w, step]) >> np.uint64(63)).astype(np.int64)
+                            real[row] += at < end
+                    c *= self.coins[w, step]
+                    c >>= np.uint64(63)
+                    at += c.view(np.int64)
             out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             out += np.arange(WALKS * SAMPLES, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
         return (out ^ (out >> np.uint64(32))).T
 
 
+def allowed(n: int, max_edits: float) -> int:
+    """Edits allowed in a copy of an item of n words."""
+    return 0 if n < MIN_WORDS else int(n * max_edits)
+
+
+def phrase_parts(n: int, max_edits: float) -> list[tuple[int, int]]:
+    """(start, words) of the parts of an item of n words, fewer than MIN_WALKED: the allowed edits leave one of them whole."""
+    cuts = np.linspace(0, n, min(n, allowed(n, max_edits) + 1) + 1).astype(int).tolist()
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
 def phrase_keys(words: np.ndarray, n: int) -> np.ndarray:
-    """A key of each run of n words (fewer than MIN_WORDS), by its first word."""
+    """A key of each run of n words, by its first word."""
     out = np.full(max(0, len(words) - n + 1), n, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(n):
@@ -167,12 +192,14 @@ def _item_keys(items: DataFrame, max_edits: float) -> DataFrame:
         for b in it:
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = text.split(" ")
-                if len(words) < MIN_WORDS:
-                    yield pa.record_batch([pa.array(phrase_keys(hashed(words, {}), len(words)).view(np.int64)), pa.array([0], pa.int32()), pa.array([item], pa.int64())], names=["key", "skip", "item_id"])
+                if len(words) < MIN_WALKED:
+                    h, parts = hashed(words, Memo()), phrase_parts(len(words), max_edits)
+                    key = np.array([phrase_keys(h[at : at + n], n)[0] for at, n in parts])
+                    yield pa.record_batch([pa.array(key.view(np.int64)), pa.array([at for at, _ in parts], pa.int32()), pa.array([item] * len(parts), pa.int64())], names=["key", "skip", "item_id"])
                     continue
                 starts = item_starts(len(words), max_edits)
                 real = np.zeros((WALKS * SAMPLES, len(starts)), dtype=np.int64)
-                keys = walks.keys(hashed(words, {}), starts, _stops(starts, np.full(len(starts), len(words))), real).view(np.int64)
+                keys = walks.keys(walks.laid([hashed(words, Memo())])[0], starts, len(words), real).view(np.int64)
                 window, row = np.nonzero(real.T >= REAL_WORDS)
                 yield pa.record_batch([pa.array(keys[window, row]), pa.array(starts[window], pa.int32()), pa.array([item] * len(window), pa.int64())], names=["key", "skip", "item_id"])
 
@@ -193,16 +220,12 @@ def _in_table(table: np.ndarray, keys: np.ndarray, shift: int) -> np.ndarray:
     return (table[(spots >> np.uint64(6)).view(np.int64)] >> (spots & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _stops(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return np.minimum(starts + WALK_WORDS, ends)
-
-
 def leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, id_type: str = "long") -> DataFrame:
     """(doc_id, item_id, edits, item_words, start_word, n_words): where a text holds an item or a near copy of it.
 
     Words are runs of letters, digits and underscores, in lower case. A copy is a span of at most max_edits * words of the item insertions, removals or
     replacements of words; of an item's copies in a document the nearest is returned, the first among equals.
-    Items under MIN_WORDS words are found as exact phrases. Null texts and items without words have no copies. Equal doc_ids are one document; an item_id with several
+    Items under MIN_WORDS words are found without edits, as phrases. Null texts and items without words have no copies. Equal doc_ids are one document; an item_id with several
     texts stands for each of them, a null item_id too. Rows without doc_id are left out here, but not in `clean`. doc_id is cast to id_type.
 
     Windows whose keys may be an item's (by two tables of fixed size that tasks hold) go on to the join, with the words around them;
@@ -213,7 +236,8 @@ def leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, id_ty
     longest = known.agg(F.max(F.size(F.split("words", " ")))).first()[0]
     if longest is None:
         return spark.createDataFrame([], f"doc_id {id_type}, item_id long, edits int, item_words int, start_word int, n_words int")
-    phrases = sorted(r[0] for r in known.select(F.size(F.split("words", " ")).alias("n")).where(F.col("n") < MIN_WORDS).distinct().collect())  # lengths
+    sizes = [r[0] for r in known.select(F.size(F.split("words", " ")).alias("n")).where(F.col("n") < MIN_WALKED).distinct().collect()]  # lengths of short items
+    phrases = {n: size < MIN_WORDS for size in sorted(sizes) for _, n in phrase_parts(size, max_edits)}  # and of their parts: are they only whole items?
     ids = pa.int64() if id_type == "long" else pa.string()
     keyed = written(_item_keys(known, max_edits), "item-keys")
     sent = spark.sparkContext.broadcast([_key_table(keyed, 0), _key_table(keyed, _SECOND)])
@@ -221,29 +245,28 @@ def leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, id_ty
     walks, margin = Walks(), int(longest * (1 + max_edits)) + WALK_WORDS // 2
 
     def windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (first, second), memo = sent.value, {}
+        (first, second), memo = sent.value, Memo()
 
         def walked(texts: list[tuple[int, list[str]]]) -> pa.RecordBatch | None:
             """Probes of some texts, whose windows are walked over together."""
-            sizes = np.array([len(w) for _, w in texts])
-            ends = np.cumsum(sizes)
-            begins = ends - sizes
-            h = np.concatenate([hashed(w, memo) for _, w in texts])
+            h, begins = walks.laid([hashed(w, memo) for _, w in texts])
+            ends = begins + np.array([len(w) for _, w in texts])
             starts = np.concatenate([np.arange(a, z, STRIDE) for a, z in zip(begins.tolist(), ends.tolist(), strict=True)])
-            keys = walks.keys(h, starts, _stops(starts, ends[np.searchsorted(ends, starts, side="right")])).view(np.int64)
+            keys = walks.keys(h, starts).view(np.int64)
             at, which = np.nonzero(_in_table(first, keys, 0))
             both = _in_table(second, keys[at, which], _SECOND)
             found, key = [starts[at[both]]], [keys[at[both], which[both]]]
-            for n in phrases:
+            for n, whole in phrases.items():
                 keys = phrase_keys(h, n).view(np.int64)
                 at = np.flatnonzero(_in_table(first, keys, 0))
                 at = at[_in_table(second, keys[at], _SECOND)]
-                text = np.searchsorted(ends, at, side="right")
+                text = np.searchsorted(begins, at, side="right") - 1
                 inside = at + n <= ends[text]
                 at, text = at[inside], text[inside]
-                once = np.unique(np.stack([text, keys[at]]), axis=1, return_index=True)[1]  # a phrase counts where it first stands in a text
-                found.append(at[once])
-                key.append(keys[at[once]])
+                if whole:  # it counts where it first stands in a text
+                    at = at[np.unique(np.stack([text, keys[at]]), axis=1, return_index=True)[1]]
+                found.append(at)
+                key.append(keys[at])
             start, key = np.concatenate(found), np.concatenate(key)
             if not len(start):
                 return None
@@ -251,7 +274,7 @@ def leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, id_ty
             start, key = start[order], key[order]
             start, begun = np.unique(start, return_index=True)
             own = pa.ListArray.from_arrays(pa.array(np.append(begun, len(key)), pa.int32()), pa.array(key))
-            of = np.searchsorted(ends, start, side="right")
+            of = np.searchsorted(begins, start, side="right") - 1
             pos = start - begins[of]
             lows = np.maximum(0, pos - margin)
             around = [" ".join(texts[t][1][lo : p + margin]) for t, lo, p in zip(of.tolist(), lows.tolist(), pos.tolist(), strict=True)]
@@ -290,9 +313,8 @@ def leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, id_ty
                 if words not in split:
                     split[words] = (own := words.split(" ")), Counter(own)
                 own, bag = split[words]
-                short = len(own) < MIN_WORDS
-                most = 0 if short else int(len(own) * max_edits)
-                slack = 0 if short else most + WALK_WORDS // 2  # walks may meet out of step
+                most = allowed(len(own), max_edits)
+                slack = most + (WALK_WORDS // 2 if len(own) >= MIN_WALKED else 0)  # walks may meet out of step
                 near = max(low, begin - slack)
                 text = around.split(" ")[near - low : begin + len(own) + slack - low]
                 if may_hold(bag, len(own), text, most) and (found := best_span(own, text, most)):
