@@ -254,7 +254,7 @@ def test_decontamination_edits_anywhere(spark):
     """Copies of which the beginning, the end or words all over are replaced or cut, within the 20 %."""
     rng = random.Random(61)
     words = ["".join(rng.choice("abcdefghijklmn") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
-    items = [(i, " ".join(rng.choices(words, k=(15, 30, 60, 100)[i % 4]))) for i in range(80)]
+    items = [(i, " ".join(rng.choices(words, k=(10, 15, 20, 30, 60, 100)[i % 6]))) for i in range(120)]
     rows, want = [], {}
     for i, t in items:
         for k, where in enumerate(("head", "cut", "middle", "tail", "spread")):
@@ -304,35 +304,98 @@ def test_toxicity(spark):
     assert toxicity.scored(docs(spark, []), table).count() == 0
 
 
-def test_toxicity_nearest_is_exact():
+@pytest.mark.parametrize("terms", [30, 400])
+def test_toxicity_is_exact(terms):
+    """Nearest examples, votes, calibration and scores against plain Python; with short lists and with rows of the table."""
     rng = random.Random(8)
-    examples = [(i, rng.randint(0, 1), {t: rng.randint(1, 3) for t in rng.sample(range(30), rng.randint(1, 6))}) for i in range(500)]
-    index = toxicity.Index([f"t{i}" for i in range(30)], np.linspace(1, 3, 30), examples, (1.0, 1.0))
+    pick = lambda: sorted({min(int(rng.paretovariate(0.5)) - 1, terms - 1) for _ in range(rng.randint(1, 8))} | {rng.randrange(terms)})
+    examples = [(i, int(rng.random() < 0.3), np.array(own), np.array([rng.randint(1, 3) for _ in own])) for i, own in ((i, pick()) for i in range(500))]
+    examples += [(600, 1, np.array([], dtype=int), np.array([], dtype=int))]
+    units = (1.0, 2.0)
+    weight = np.linspace(1, 3, terms)
+    index = toxicity.Index(np.arange(terms), weight, examples, units)
+    assert index.table.shape[1] > 0 and (terms == 30 or len(index.who) > 0)
+
+    def vector(ids, n):
+        w = {i: (1 + math.log(c)) * weight[i] for i, c in zip(ids.tolist(), n.tolist(), strict=True)}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {i: x / norm for i, x in w.items()}
+
+    cosine = lambda a, b: sum(x * b.get(i, 0) for i, x in a.items())
     rows = {}
-    for r, d in enumerate(index.docs):
-        ids, w = index.vector(dict(next(c for i, _, c in examples if i == d)))
-        rows[r] = dict(zip(ids.tolist(), w.tolist(), strict=True))
-    for _, _, counts in examples[:60]:
-        ids, w = index.vector(counts)
-        every = sorted(((round(sum(x * rows[r].get(t, 0) for t, x in zip(ids.tolist(), w.tolist(), strict=True)), 9), -r) for r in rows), reverse=True)
-        got = index.nearest(ids, w)
-        assert [c for c, _ in got] == pytest.approx([c for c, _ in every[: toxicity.NEIGHBOURS] if c > 0])
-
-
-def test_lattice_sums_over_all_ways():
-    own = lattice.Lattice({"▁": -1.0, "▁a": -2.0, "a": -1.5, "b": -1.2, "ab": -2.2, "bb": -3.0, "▁ab": -2.5})
-
-    def ways(text):
-        if not text:
-            return 1.0
-        total = sum(math.exp(p) * ways(text[len(s) :]) for s, p in own.logp.items() if text.startswith(s))
-        return total if text[0] in own.logp else total + math.exp(own.byte * len(text[0].encode())) * ways(text[1:])
-
-    for w in ["a", "ab", "abb", "babab", "ç", "", "a日b"]:
-        assert own.log_chance(w) == pytest.approx(math.log(ways("▁" + w)) + own.last)
-    counts = {}
-    own.expect("abb", counts)
-    assert sum(len(p) * x for p, x in counts.items()) == pytest.approx(4)
+    for doc, toxic, ids, n in examples:
+        if len(ids):
+            row = rows.setdefault((ids.tobytes(), n.tobytes()), [vector(ids, n), [0.0, 0.0], doc])
+            row[1][toxic] += units[toxic]
+    place = {d: r for r, d in enumerate(index.docs)}
+    rows = sorted(rows.values(), key=lambda r: place[r[2]])
+    total = [sum(r[1][y] for r in rows) + (units[1] if y else 0) for y in (0, 1)]
+    prior = total[1] / sum(total)
+
+    def near(v):
+        every = sorted(((round(cosine(v, r[0]), 5), -i) for i, r in enumerate(rows)), reverse=True)
+        return [(c, -i) for c, i in every[: toxicity.NEIGHBOURS] if c > 0]
+
+    def vote(found, without=None):
+        x = [0.0, 0.0]
+        for c, i in found:
+            own = list(rows[i][1])
+            if without is not None and without[0] == i:
+                own[without[1]] -= units[without[1]]
+            x = [x[y] + own[y] * c / (1.1 - c) for y in (0, 1)]
+        return (x[1] + 0.5 * prior) / (sum(x) + 0.5)
+
+    votes = []
+    for _, toxic, ids, n in examples:
+        got = index.left_out(ids, n, toxic)
+        if not len(ids):
+            assert got is None
+            continue
+        found = near(vector(ids, n))
+        mine = index.nearest(*index.vector(ids, n))
+        assert [c for c, _ in mine] == pytest.approx([c for c, _ in found], abs=2e-5)
+        if [-i for _, i in mine] == [i for _, i in found]:  # else ties fell otherwise within rounding
+            assert got == pytest.approx(vote(found, (found[0][1], toxic)), abs=1e-3)
+        votes.append((got, toxic))
+    steps = index.calibrated(votes)
+    # Isotonic regression by its min-max formula; equal neighbours are one pool.
+    xs = sorted(votes)
+    w = np.array([units[y] for _, y in xs])
+    up, down = np.append(0, np.cumsum(w * [y for _, y in xs])), np.append(0, np.cumsum(w))
+    mean = lambda i, j: (up[j + 1] - up[i]) / (down[j + 1] - down[i])
+    tails = [np.minimum.accumulate([mean(i, j) for j in range(len(xs) - 1, i - 1, -1)])[::-1] for i in range(len(xs))]
+    fit = [max(tails[i][m - i] for i in range(m + 1)) for m in range(len(xs))]
+    pools = []
+    for (x, _), v, u in zip(xs, fit, w, strict=True):
+        if not pools or abs(pools[-1][1] - v) > 1e-9:
+            pools.append([0.0, v, 0.0])
+        pools[-1][0] += x * u
+        pools[-1][2] += u
+    assert steps[0] == pytest.approx([x / u for x, _, u in pools])
+    assert steps[1] == pytest.approx([(v * u + prior) / (u + 1) for _, v, u in pools])
+    score, evidence = index.score(examples[3][2], examples[3][3], steps)
+    found = index.nearest(*index.vector(examples[3][2], examples[3][3]))
+    assert score == pytest.approx(float(np.interp(index.vote(found), *steps))) and evidence[0][1] == found[0][0] and len(evidence) == min(5, len(found))
+    blank = index.score(np.array([], dtype=int), np.array([], dtype=int), steps)
+    assert blank == (pytest.approx((2 + prior) / 3), [])
+
+
+def test_toxicity_label_weights():
+    """The likelihood ratio of a two-by-two table, both ways, and near copies counting once."""
+    toxic = np.array([1, 1, 1, 1, 0, 0, 0, 0, 0, 0])
+    has = {0: [0, 1, 2, 3], 1: [4, 5, 6, 7, 8, 9], 2: [0, 4, 5], 3: list(range(10))}
+    term = np.array([t for t, who in has.items() for _ in who])
+    row = np.array([r for who in has.values() for r in who])
+    got = toxicity.label_weights(term, row, toxic, 4)
+    for t, who in has.items():
+        ratio = 0.0
+        for inside in (True, False):
+            for y in (0, 1):
+                cell = sum((r in who) == inside and toxic[r] == y for r in range(10))
+                expected = sum((r in who) == inside for r in range(10)) * sum(toxic == y) / 10
+                ratio += 2 * cell * math.log(cell / expected) if cell else 0
+        assert got[t] == pytest.approx(toxicity.LEAST + (1 - toxicity.LEAST) * ratio**2 / (ratio**2 + toxicity.HALF**2), abs=1e-9)
+    assert toxicity.originals(np.array([5, 5, 0xFF << 40, 4, (1 << 40) - 1], dtype=np.uint64)).tolist() == [True, False, True, False, True]
 
 
 def longhand(pieces, text):
