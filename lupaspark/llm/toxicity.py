@@ -28,9 +28,9 @@ LONG = 24
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 #: Word beginnings count as terms too: inflected forms share them.
-PREFIXES = (4, 5, 6)
-#: Words that a Python worker remembers.
-MEMO = 300_000
+PREFIXES = (5, 6)
+#: Words, and texts' scores, that a Python worker remembers.
+MEMO, TEXTS = 300_000, 20_000
 _TRIM = ".,;:!?\"'()[]{}<>|*#%&-_/\\"
 
 
@@ -65,11 +65,13 @@ class Terms:
     def __init__(self, vocabulary: np.ndarray | None = None) -> None:
         self.at = None if vocabulary is None else {t: i for i, t in enumerate(vocabulary.tolist())}
         self.met: dict[str, list[int]] = {}
+        self.begins: dict[str, int | None] = {}
 
     def counts(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         met, at = self.met, self.at
         if len(met) > MEMO:
             met.clear()
+            self.begins.clear()
         names, times = [], []
         for word, n in Counter(words_of(text)).items():
             own = met.get(word)
@@ -81,17 +83,38 @@ class Terms:
         return ids, np.bincount(where, weights=times, minlength=len(ids)).astype(np.int64)
 
     def _own(self, word: str) -> list[int]:
-        terms, at = terms_of(word), self.at
-        if at is None:
-            return [hashed(t) for t in terms]
-        own = []
-        for t in [*terms[1:], *terms[:1]]:  # from the shortest beginning on: where it is unknown, what it begins is too
-            if (i := at.get(hashed(t))) is None:
+        if self.at is None:
+            return [hashed(t) for t in terms_of(word)]
+        word, own = word.strip(_TRIM), []
+        for n in PREFIXES:  # where a beginning is unknown, what it begins is too
+            if len(word) <= n:
                 break
+            begin = word[:n]
+            if begin not in self.begins:
+                self.begins[begin] = self.at.get(hashed(f"{begin}*"))
+            if (i := self.begins[begin]) is None:
+                return own
+            own.append(i)
+        if word and (i := self.at.get(hashed(word))) is not None:
             own.append(i)
         return own
 
 
+class Scores:
+    """Scores of texts. Texts met before are remembered by a digest of 128 bits: copies cost nothing."""
+
+    def __init__(self, index: Index, steps: tuple[np.ndarray, np.ndarray]) -> None:
+        self.index, self.steps, self.terms, self.met = index, steps, Terms(index.vocabulary), {}
+
+    def of(self, text: bytes | None) -> tuple[float, list[tuple[int, float, float]]]:
+        key = xxhash.xxh3_128_digest(text or b"")
+        if (got := self.met.get(key)) is None:
+            if len(self.met) > TEXTS:
+                self.met.clear()
+            self.met[key] = got = self.index.score(*self.terms.counts(text), self.steps)
+        return got
+
+
 class Index:
     """Labelled examples as unit vectors of weighted terms, each distinct one once, in an inverted index whose postings fall into blocks of examples.
 
@@ -319,11 +342,10 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     sent, steps = fit(docs, labels)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
-        terms = Terms(index.vocabulary)
+        scores = Scores(sent.value, steps)
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic_share", pa.float64())]))
         for b in it:
-            got = [index.score(*terms.counts(x.as_py()), steps) for x in b.column(1)]
+            got = [scores.of(x.as_py()) for x in b.column(1)]
             evidence = [[{"doc_id": d, "cosine": c, "toxic_share": s} for d, c, s in near] for _, near in got]
             yield pa.record_batch([b.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
 
@@ -338,9 +360,8 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     sent, steps = fit(docs, labels)
 
     def toxic(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = sent.value
-        terms = Terms(index.vocabulary)
+        scores = Scores(sent.value, steps)
         for part in texts:
-            yield pd.Series([index.score(*terms.counts(x), steps)[0] >= threshold for x in part])
+            yield pd.Series([scores.of(x)[0] >= threshold for x in part])
 
     return docs.where(~F.pandas_udf(toxic, "boolean", F.PandasUDFType.SCALAR_ITER)(F.col("text").cast("binary")))
