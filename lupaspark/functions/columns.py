@@ -1,9 +1,13 @@
-"""Column functions: normalised keys, names, dates, money and closed classifications. All stay in the JVM."""
+"""Column functions: normalised keys, names, dates, money and closed classifications. All stay in the JVM, but for entities in pages."""
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Accented letters and what they become.
 ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿªº"
@@ -234,17 +238,38 @@ def class_by_patterns(s: Column, ladder: list[tuple[str, str]], other: str | Non
     return F.coalesce(*[F.when(text.rlike(p), F.lit(c)) for p, c in ladder], F.lit(other))
 
 
-# Ladders of patterns for penalties, outcomes and event titles.
-PENALTIES = [("inidone", "debarment"), ("impediment", "impediment"), ("suspens", "suspension"), ("multa", "fine"), ("advert", "warning")]
+# Ladders of patterns for penalties, outcomes and event titles, markers of interests, and the values of decisions.
+PENALTIES = [("advert", "warning"), ("multa", "fine"), ("impediment|suspens", "suspension"), ("declara|inidon", "debarment"), ("rescis", "rescission")]
 OUTCOMES = [("arquiv", "shelved"), ("aprovad|sancionad|promulgad", "approved"), ("rejeitad|vetad", "rejected"), ("retirad", "withdrawn")]
-EVENTS = [("viagem|deslocamento|embarque", "trip"), ("audiencia", "hearing"), ("reuniao|encontro|despacho", "meeting"), ("cerimonia|evento|solenidade|posse", "event")]
-MARKERS = [("advoga|advocacia", "law firm"), ("associacao|federacao|sindicato|confederacao|instituto", "sector"), (r"\b(ltda|s\.?a\.?|eireli)\b|empresa|banco", "company"), ("ministerio|secretaria|prefeitura|governo|camara|senado", "public")]
-NATURES = {"acesso concedido": "granted", "acesso negado": "denied", "acesso parcialmente concedido": "partial", "informacao inexistente": "nonexistent", "orgao nao tem competencia": "not competent", "pergunta duplicada": "duplicate"}
+EVENTS = [
+    (r"^\s*(viagem|deslocamento|embarque|desembarque|partida|chegada|retorno|decolagem|pouso)", "trip"),
+    ("audiencia|recebe ", "hearing"),
+    ("reuniao|encontro|despacho|conversa|almoco|jantar|cafe da manha|videoconferencia|telefonema|ligacao", "meeting"),
+    ("cerimonia|evento|solenidade|posse|lancamento|entrevista|sessao|abertura|visita|pronunciamento|discurso|participa|assinatura|anuncio|entrega|inaugura|comemora|homenagem|cupula|assembleia|conferencia|seminario|programa|gravacao", "event"),
+]
+MARKERS = [
+    (r"\bminister|secretari|prefeitur|municip|estadual|governo|camara municipal|assembleia|tribunal|universidade federal|instituto federal|fundacao universidade|agencia nacional|conselho nacional|\b(uniao|federal)\b|embaixada|consulado|procuradoria|defensoria|policia|hospital universitario", "public"),
+    (r"\b(advogados?|advocacia)\b", "law firm"),
+    (r"\b(associacao|federacao|confederacao|sindicatos?)\b", "sector"),
+    (r"\b(ltda|eireli|epp|mei)\b|\bs[ ./]a\b|\bsa$", "company"),
+]
+NATURES = {
+    "acesso concedido": "granted", "acesso negado": "denied", "acesso parcialmente concedido": "partial", "informacao inexistente": "nonexistent",
+    "orgao nao tem competencia para responder sobre o assunto": "not competent", "nao se trata de solicitacao de informacao": "not a request", "pergunta duplicada repetida": "duplicate",
+}
+#: Elements that begin or end a line of a page.
+BLOCKS = "p|div|br|li|tr|td|th|h[1-6]|ul|ol|dl|dt|dd|table|article|section|header|footer|nav|title|head|body|html|main|hr|blockquote|figure|figcaption|span|strong|b|em|i|a"
+
+
+@F.pandas_udf(StringType())
+def unescaped(s: pd.Series) -> pd.Series:
+    """Named and numeric entities of HTML as their characters."""
+    return s.map(html.unescape, na_action="ignore")
 
 
 def interest_marker(s: Column, siglas: list[str]) -> Column:
-    """F32: kind of private interest that the words show; a public body's sigla overrules it."""
-    return F.when(F.arrays_overlap(tokens(s), F.array(*[F.lit(x.lower()) for x in siglas])), F.lit("public")).otherwise(class_by_patterns(s, MARKERS, None))
+    """F32: kind of interest that the words show, public bodies first; none where a body's sigla stands among them."""
+    return F.when(~F.arrays_overlap(tokens(s), F.array(*[F.lit(x.lower()) for x in siglas])), class_by_patterns(s, MARKERS, None))
 
 
 def bars_contracting(category: Column) -> Column:
@@ -277,14 +302,15 @@ def hash_id(*parts: Column, n: int = 8) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", *parts)), 1, n)
 
 
-def html_lines(html: Column) -> Column:
-    """text lines of a page: scripts, styles and comments dropped, block ends as line ends, commonest entities unescaped."""
-    t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"(?i)</?(p|div|br|li|tr|h[1-6]|ul|ol|table|article|section|nav|title|head|body|html)\b[^>]*>", "\n")
+def html_lines(page: Column) -> Column:
+    """text lines of a page: scripts, styles and comments dropped, element bounds as line ends, entities unescaped, dashes as hyphens. Pages without entities stay in the JVM."""
+    t = F.regexp_replace(page, r"(?is)<(script|style|noscript|svg|select)\b.*?</\1>|<!--.*?-->", " ")
+    t = F.regexp_replace(t, rf"(?i)</?({BLOCKS})(\s[^>]*)?/?>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", " ")
-    for entity, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(c))
-    return F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    t = F.when(F.contains(t, F.lit("&")), unescaped(F.when(F.contains(t, F.lit("&")), t))).otherwise(t)
+    t = F.regexp_replace(F.translate(t, "\u00a0\u200b\u3164", "   "), "[\u2010-\u2015\u2212]", "-")
+    line = lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^[ |·•*]+|[ |·•*]+$", "")
+    return F.filter(F.transform(F.split(t, "\n"), line), lambda x: x != "")
 
 
 def veto_subject(s: Column, most: int = 110) -> Column:

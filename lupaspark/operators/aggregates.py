@@ -115,11 +115,10 @@ def run_rate(months: DataFrame, month: str, value: str, k: int = 3, places: int
 
 def attendance(votes: DataFrame, rolls: DataFrame, roster: DataFrame, person: str, roll: str) -> DataFrame:
     """Distinct roll calls with a vote, of all; people who never voted have 0."""
-    n = rolls.select(F.count_distinct(roll).alias("rolls"))
     cast = votes.join(rolls.select(roll).distinct(), roll, "left_semi").groupBy(person).agg(F.count_distinct(roll).alias("present"))
-    total = n.first()[0]
     out = roster.select(person).distinct().join(cast, person, "left").withColumn("present", F.coalesce("present", F.lit(0)))
-    return out.withColumns({"rolls": F.lit(total), "attendance": F.bround(F.try_divide(F.col("present") * F.lit(100.0), F.lit(total).cast("double")), 1)})
+    out = out.join(F.broadcast(rolls.agg(F.count_distinct(roll).alias("rolls"))))  # one row
+    return out.withColumn("attendance", F.bround(F.try_divide(F.col("present") * F.lit(100.0), F.col("rolls").cast("double")), 1))
 
 
 def quota(df: DataFrame, person: str, month: str, kind: str, value: str, k: int = 3) -> DataFrame:

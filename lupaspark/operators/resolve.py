@@ -134,26 +134,32 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double"))
 
 
+def _compatible_organs(holders: DataFrame, closure: DataFrame, payroll: DataFrame) -> DataFrame:
+    """(person, pay_organ, rank): organs, not rows, where a holder's pay may stand."""
+    present = payroll.select(F.col("organ").alias("pay_organ")).distinct()
+    own = holders.select("person", F.col("organ").alias("pay_organ"), F.lit(0).alias("rank"))
+    below = holders.join(closure.select(F.col("ancestor").alias("organ"), F.col("node").alias("pay_organ")), "organ").select("person", "pay_organ", F.lit(1).alias("rank"))
+    above = holders.join(closure.select(F.col("node").alias("organ"), F.col("ancestor").alias("pay_organ"), "depth"), "organ").join(present, "pay_organ")
+    near = above.withColumn("_n", F.row_number().over(Window.partitionBy("person", "organ").orderBy("depth", "pay_organ"))).where("_n = 1").select("person", "pay_organ", F.lit(2).alias("rank"))
+    return own.union(below).union(near).groupBy("person", "pay_organ").agg(F.min("rank").alias("rank"))
+
+
 def org_compatible(holders: DataFrame, closure: DataFrame, payroll: DataFrame) -> DataFrame:
     """(person, row_id, rank) where the payroll row's organ is the holder's own (0), one below it (1), or the nearest above it that has payroll (2)."""
     rows = payroll.select("row_id", F.col("organ").alias("pay_organ"))
-    present = rows.select("pay_organ").distinct()
-    own = holders.select("person", "organ", F.col("organ").alias("pay_organ"), F.lit(0).alias("rank"))
-    below = holders.join(closure.select(F.col("ancestor").alias("organ"), F.col("node").alias("pay_organ")), "organ").select("person", "organ", "pay_organ", F.lit(1).alias("rank"))
-    above = holders.join(closure.select(F.col("node").alias("organ"), F.col("ancestor").alias("pay_organ"), "depth"), "organ").join(present, "pay_organ")
-    near = above.withColumn("_n", F.row_number().over(Window.partitionBy("person", "organ").orderBy("depth", "pay_organ"))).where("_n = 1").select("person", "organ", "pay_organ", F.lit(2).alias("rank"))
-    return own.union(below).union(near).join(rows, "pay_organ").groupBy("person", "row_id").agg(F.min("rank").alias("rank"))
+    return _compatible_organs(holders, closure, payroll).join(rows, "pay_organ").groupBy("person", "row_id").agg(F.min("rank").alias("rank"))
 
 
 def payroll_match(holders: DataFrame, payroll: DataFrame, closure: DataFrame) -> DataFrame:
     """(person, row_id, criterion, confidence, reason) for every holder(person, name, organ) against payroll(row_id, name, organ).
 
     Rungs among compatible organs: full name, base name, first and last name, ordered subsequence. The first rung with one row wins; several make the
-    holder ambiguous. Names meet by their first word, never all with all.
+    holder ambiguous. Holders meet rows by organ and first word of the name together, which every rung needs: never all rows of an organ.
     """
     h = holders.select("person", F.col("name").alias("h_name"), F.split(C.name_key_full(F.col("name")), " ").alias("hw"))
-    p = payroll.select("row_id", F.col("name").alias("p_name"), F.split(C.name_key_full(F.col("name")), " ").alias("pw"))
-    pairs = org_compatible(holders, closure, payroll).join(h, "person").join(p, "row_id").where(F.get("hw", F.lit(0)) == F.get("pw", F.lit(0)))
+    p = payroll.select("row_id", F.col("organ").alias("pay_organ"), F.col("name").alias("p_name"), F.split(C.name_key_full(F.col("name")), " ").alias("pw")).withColumn("first", F.get("pw", F.lit(0)))
+    near = _compatible_organs(holders, closure, payroll).join(h.withColumn("first", F.get("hw", F.lit(0))), "person")
+    pairs = near.join(p, ["pay_organ", "first"]).dropDuplicates(["person", "row_id", "h_name"])
     hn, pn = F.col("h_name"), F.col("p_name")
     rung = F.when(C.name_key_full(hn) == C.name_key_full(pn), 1).when(C.name_key_base(hn) == C.name_key_base(pn), 2).when(C.name_key_first_last(hn) == C.name_key_first_last(pn), 3).when(is_subsequence(F.col("hw"), F.col("pw")), 4)
     found = pairs.withColumn("rung", rung).where("rung is not null")
@@ -191,9 +197,19 @@ def best_similar(df: DataFrame, targets: DataFrame, block: str, cut: float = 0.6
 
 def two_sided(df: DataFrame, targets: DataFrame, cut: float = 0.75, margin: float = 0.2) -> DataFrame:
     """(id, target, score): shared words as a share of either side's, the lower of the two; from `cut`, and `margin` ahead of the next target."""
-    a = df.select("id", F.array_distinct(C.stem_tokens(F.col("text"))).alias("a")).withColumn("t", F.explode("a"))
-    b = targets.select("target", F.array_distinct(C.stem_tokens(F.col("text"))).alias("b")).withColumn("t", F.explode("b"))
-    shared = a.join(b, "t").groupBy("id", "target", F.size("a").alias("na"), F.size("b").alias("nb")).agg(F.count("*").alias("n"))
+    a = df.select("id", F.array_distinct(C.stem_tokens(F.col("text"))).alias("a")).distinct()
+    b = targets.select("target", F.array_distinct(C.stem_tokens(F.col("text"))).alias("b")).distinct()
+    known = b.select(F.explode("b").alias("t")).groupBy("t").agg(F.count("*").alias("known"))
+
+    def rarest(side: DataFrame, key: str, words: str) -> DataFrame:
+        """The rarest words of each side, one more than may be missing from a pair that counts: such pairs share one of them."""
+        w = Window.partitionBy(key, words).orderBy("known", "t")
+        n = F.size(words) - F.ceil(F.size(words) * (cut - margin) - 1e-9) + 1
+        told = side.withColumn("t", F.explode(words)).join(known, "t", "left").withColumn("known", F.coalesce("known", F.lit(0)))
+        return told.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).select(key, words, "t")
+
+    pairs = rarest(a, "id", "a").join(rarest(b, "target", "b"), "t").select("id", "target", "a", "b").distinct()
+    shared = pairs.select("id", "target", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("n"))
     scored = shared.withColumn("score", F.round(F.least(F.col("n") / F.col("na"), F.col("n") / F.col("nb")), 4))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "target")
     ranked = scored.withColumns({"_n": F.row_number().over(w), "_next": F.coalesce(F.lead("score").over(w), F.lit(0.0))})

@@ -11,11 +11,15 @@ from lupaspark.functions import columns as C
 def in_force_join(events: DataFrame, spans: DataFrame, key: list[str], at: str, start: str = "valid_from", end: str = "valid_to", extra: Column | None = None) -> DataFrame:
     """Events with the spans of the same key that hold on the event's day, both bounds included; a null end is open.
 
-    The key is an equality, so the join is a hash or merge join, and the range a filter on its pairs.
+    Spans with an end join by key and month, one row for each month that they touch, so that a key's pairs grow with those that overlap; open spans join by key alone,
+    since all later events of the key are theirs.
     """
     at_col = F.col(at).cast("date")
-    ok = (at_col >= F.col(start)) & (F.col(end).isNull() | (at_col <= F.col(end)))
-    return events.join(spans, key).where(ok if extra is None else ok & extra)
+    month = lambda c: F.trunc(c, "month")
+    inside = at_col >= F.col(start) if extra is None else (at_col >= F.col(start)) & extra
+    shut = spans.where(F.col(end) >= F.col(start)).withColumn("_month", F.explode(F.sequence(month(F.col(start)), month(F.col(end)), F.expr("interval 1 month"))))
+    met = events.withColumn("_month", month(at_col)).join(shut, [*key, "_month"]).where(inside & (at_col <= F.col(end))).drop("_month")
+    return met.unionByName(events.join(spans.where(F.col(end).isNull()), key).where(inside))
 
 
 def who_was(df: DataFrame, spans: DataFrame, at: str, start: str = "since", end: str = "until") -> DataFrame:

@@ -31,15 +31,18 @@ def person_forms(people: DataFrame, nicknames: DataFrame | None = None) -> DataF
     return forms.distinct()
 
 
-def link_entities(texts: DataFrame, forms: DataFrame, most: int = 8, max_words: int = 8) -> DataFrame:
+def link_entities(texts: DataFrame, forms: DataFrame, most: int = 8, key_words: int = 8) -> DataFrame:
     """(doc_id, id, form, first): entities whose form is a run of the text's words; forms of several entities name none. texts(doc_id, text), forms(id, form).
 
-    Runs of words meet forms by equality; only lengths that forms have are made. The longest form of an entity counts, and a text's `most` earliest entities.
+    Runs of words meet forms by equality; only lengths that forms have are made. A form of more than key_words words is met by its first ones, and the text
+    then tells whether the others follow. The longest form of an entity counts, and a text's `most` earliest entities.
     """
-    known = forms.groupBy("form").agg(F.min("id").alias("id"), F.count_distinct("id").alias("n")).where("n = 1").select("form", "id", F.size(F.split("form", " ")).alias("words")).where(F.col("words") <= max_words)
-    lengths = [r[0] for r in known.select("words").distinct().collect()]  # at most max_words numbers
+    known = forms.groupBy("form").agg(F.min("id").alias("id"), F.count_distinct("id").alias("n")).where("n = 1").select("form", "id", F.split("form", " ").alias("parts"))
+    known = known.select("form", "id", F.size("parts").alias("words"), F.array_join(F.slice("parts", 1, key_words), " ").alias("key"))
+    lengths = [r[0] for r in known.select(F.least("words", F.lit(key_words))).distinct().collect()]  # at most key_words numbers
     if not lengths:
         return texts.select("doc_id", F.lit(None).cast(dict(forms.dtypes)["id"]).alias("id"), F.lit("").alias("form"), F.lit(0).alias("first")).limit(0)
+
     def runs_of(n: int) -> Column:
         """Runs of n words; the words are bound once, not made anew for each run."""
         runs = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
@@ -47,9 +50,13 @@ def link_entities(texts: DataFrame, forms: DataFrame, most: int = 8, max_words:
 
     runs = None
     for n in sorted(lengths):
-        part = texts.select("doc_id", F.posexplode(runs_of(n)).alias("first", "form"))
+        part = texts.select("doc_id", F.posexplode(runs_of(n)).alias("first", "key"))
         runs = part if runs is None else runs.unionByName(part)
-    hits = runs.join(known, "form").groupBy("doc_id", "id").agg(F.max_by("form", F.struct("words", -F.col("first"))).alias("form"), F.min("first").alias("first"))
+    met = runs.join(known, "key")
+    short = met.where(F.col("words") <= key_words).select("doc_id", "id", "form", "words", "first")
+    long = met.where(F.col("words") > key_words).join(texts.select("doc_id", C.tokens(F.col("text")).alias("w")), "doc_id")
+    long = long.where(F.array_join(F.slice("w", F.col("first") + 1, F.col("words")), " ") == F.col("form")).select("doc_id", "id", "form", "words", "first")
+    hits = short.unionByName(long).groupBy("doc_id", "id").agg(F.max_by("form", F.struct("words", -F.col("first"))).alias("form"), F.min("first").alias("first"))
     return hits.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("first", "id"))).where(F.col("_n") <= most).drop("_n")
 
 
@@ -78,11 +85,14 @@ def mentions(links: DataFrame, dates: DataFrame, barred: list, as_of, days: int
 
 
 _NAME = r"[A-ZÀ-Ý][A-ZÀ-Ý'.-]+(?:\s+(?:D[AEO]S?\s+)?[A-ZÀ-Ý][A-ZÀ-Ý'.-]*)+"
-ACT = rf"(NOMEAR|EXONERAR|DESIGNAR|DISPENSAR)\s+({_NAME})[^;.]*?(?:cargo|função|funcao)\s+de\s+([^;.,]+)(?:,?\s+d[aeo]\s+([^;.]+))?"
+_BEFORE = r"(?:[,:]?\s+(?:a pedido|a contar d[^,;]{1,60}|a partir d[^,;]{1,60}|com efeitos [^,;]{1,60}))*"
+_TITLE = r"(?:[oaOA]s?\s+)?(?:(?i:senhora?|doutora?|dra?\.?|sra?\.?)\s+)?"
+_POST = r"(?:cargo|função|funcao)(?:\s+(?:em comissão|comissionad[ao]|de confiança|efetiv[ao]|de natureza especial))*\s+d[eo]\s+([^;.,]+)(?:,?\s+d[aeo]\s+([^;.]+))?"
+ACT = rf"\b(NOMEAR|EXONERAR|DESIGNAR|DISPENSAR)\b{_BEFORE}[,:]?\s+{_TITLE}({_NAME})[^;]*?{_POST}"
 
 
 def parse_acts(texts: DataFrame) -> DataFrame:
-    """(doc_id, act_no, verb, name, post, org_text): each act of a gazette text."""
+    """(doc_id, act_no, verb, name, post, org_text): each act of a gazette text. "a pedido", dates from which it counts and honorifics may stand before the name."""
     every = F.regexp_extract_all("text", F.lit(ACT), F.lit(0))
     rows = texts.select("doc_id", F.posexplode(every).alias("act_no", "act"))
     part = lambda i: F.regexp_extract("act", ACT, i)

@@ -53,7 +53,7 @@ def f25_f38_f41_ids(t):
     return t.customer.select("c_custkey", C.hash_id(F.lit("heads"), F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")).alias("id"), C.digits(F.col("c_name")).alias("digits"), C.money_label(hundreds).alias("label"))
 
 
-@query(f"SELECT category, CASE WHEN category LIKE '%inidone%' THEN 'debarment' WHEN category LIKE '%impediment%' THEN 'impediment' WHEN category LIKE '%suspens%' THEN 'suspension' WHEN category LIKE '%multa%' THEN 'fine' ELSE 'other' END AS class, category <> 'multa' AS bars, reach = 'all' OR (reach = 'sanctioning_body' AND body_key = 3) AS reaches, count(*) AS n FROM {SANCTIONS} s GROUP BY ALL")
+@query(f"SELECT category, CASE category WHEN 'inidoneidade' THEN 'debarment' WHEN 'multa' THEN 'fine' ELSE 'suspension' END AS class, category <> 'multa' AS bars, reach = 'all' OR (reach = 'sanctioning_body' AND body_key = 3) AS reaches, count(*) AS n FROM {SANCTIONS} s GROUP BY ALL")
 def f29_f34_sanction_classes(t):
     return t.sanctions().select("category", C.class_by_patterns(F.col("category"), C.PENALTIES).alias("class"), C.bars_contracting(F.col("category")).alias("bars"), C.reaches_buyer(F.col("reach"), F.col("body_key"), F.lit(3)).alias("reaches")).groupBy("category", "class", "bars", "reaches").agg(F.count("*").alias("n"))
 
@@ -293,9 +293,9 @@ def u7_append_missing(t):
     return U.append_missing(t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("person")), t.customer.select(F.col("c_custkey").alias("person")), ["person"])
 
 
-@query("SELECT k, 'left' AS side FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT k, 'right' FROM (SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer)")
+@query("SELECT k, 'left' AS side FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 450000) UNION ALL SELECT k, 'right' FROM (SELECT o_custkey AS k FROM orders WHERE o_totalprice > 450000 EXCEPT SELECT c_custkey FROM customer)")
 def u8_difference(t):
-    return U.difference(t.customer.select(F.col("c_custkey").alias("k")), t.orders.select(F.col("o_custkey").alias("k")), "k")
+    return U.difference(t.customer.select(F.col("c_custkey").alias("k")), t.orders.where("o_totalprice > 450000").select(F.col("o_custkey").alias("k")), "k")
 
 
 @query("SELECT s_suppkey AS k FROM supplier INTERSECT SELECT o_custkey FROM orders")
@@ -376,10 +376,10 @@ def n11_composition(t):
     return G.composition(t.nation.select(F.col("n_regionkey").alias("body"), F.col("n_nationkey").alias("post")), occ)
 
 
-@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE lower(p_type) LIKE '%steel%' AND lower(p_type) LIKE '%small%' ORDER BY length(p_name), p_partkey LIMIT 20")
+@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE lower(p_type) LIKE '%economy%' AND lower(p_name) LIKE '%small%' ORDER BY length(p_name), p_partkey LIMIT 20")
 def n12_search(t):
     e = t.part.select(F.col("p_partkey").alias("id"), F.lit("part").alias("kind"), F.col("p_name").alias("name"), F.array("p_type").alias("aliases"))
-    return G.search(e, "Steel SMALL").select("id", "name")
+    return G.search(e, "Economy SMALL").select("id", "name")
 
 
 @query(f"SELECT org, round(1 + 1.8 * sqrt(CAST(v AS DOUBLE) / max(CAST(v AS DOUBLE)) OVER (PARTITION BY kind)), 4) AS size, kind FROM (SELECT org, kind, sum(paid) AS v FROM {SPENDING} s GROUP BY ALL)")
@@ -517,10 +517,10 @@ def q14_signals(t):
 # Texts ----------------------------------------------------------------------
 
 
-@query("SELECT item_id, text[:0] || array_to_string(list_slice(w, 1, 2), ' ') AS form FROM (SELECT item_id, text, list_filter(string_split(" + _norm("text", "a-z0-9") + ", ' '), lambda x: x <> '') AS w FROM benchmark)")
-def x2_first_two_words(t):
-    w = C.tokens(F.col("text"))
-    return t.benchmark.select("item_id", F.array_join(F.slice(w, 1, 2), " ").alias("form"))
+@query("""WITH w AS (SELECT item_id, list_filter(string_split(""" + _norm("text", "a-z0-9") + """, ' '), lambda x: x <> '') AS w FROM benchmark) SELECT DISTINCT item_id, unnest([array_to_string(w, ' '), w[1] || ' ' || w[-1], w[1] || ' ' || w[2], w[-2] || ' ' || w[-1]]) AS form FROM w WHERE len(w) >= 2""")
+def x2_person_forms(t):
+    """Every text as if it were a name: whole, first and last word, first two, last two."""
+    return X.person_forms(t.benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("name"))).select(F.col("id").alias("item_id"), "form")
 
 
 def _forms(t):
@@ -546,7 +546,10 @@ def x5_x6_relevance(t):
 @query("SELECT c_custkey AS doc_id, 0 AS act_no, CASE c_custkey % 2 WHEN 0 THEN 'nomear' ELSE 'exonerar' END AS verb, 'MARIA ' || translate(CAST(c_custkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') || ' SILVA' AS name, lower(c_mktsegment) AS post FROM customer")
 def x7_parse_acts(t):
     word = F.translate(F.col("c_custkey").cast("string"), "0123456789", "ABCDEFGHIJ")
-    text = F.concat(F.lit("O MINISTRO resolve: "), F.when(F.col("c_custkey") % 2 == 0, "NOMEAR").otherwise("EXONERAR"), F.lit(" MARIA "), word, F.lit(" SILVA, para exercer o cargo de "), F.lower("c_mktsegment"), F.lit(", código 1."))
+    n = F.col("c_custkey")
+    before = F.when(n % 5 == 0, ", a pedido, o Senhor").when(n % 5 == 1, ", a partir de 3 de março de 2024,").when(n % 5 == 2, " a Dra.").when(n % 5 == 3, ", a contar de 1º de maio,").otherwise("")
+    post = F.when(n % 3 == 0, " para exercer o cargo em comissão de ").when(n % 3 == 1, " da função de ").otherwise(", para exercer o cargo de ")
+    text = F.concat(F.lit("O MINISTRO resolve: "), F.when(n % 2 == 0, "NOMEAR").otherwise("EXONERAR"), before, F.lit(" MARIA "), word, F.lit(" SILVA"), post, F.lower("c_mktsegment"), F.lit(", código 1."))
     return X.parse_acts(t.customer.select(F.col("c_custkey").alias("doc_id"), text.alias("text"))).select("doc_id", "act_no", "verb", "name", "post")
 
 
@@ -588,9 +591,9 @@ def s10_api_json(t):
     return S.from_api_json(docs, "body", "data array<struct<event_id: bigint, k: int>>", "data")
 
 
-@query("SELECT strftime(m, '%Y%m') AS month FROM (SELECT CAST(m AS TIMESTAMP) AS m FROM generate_series(DATE '1998-06-01', DATE '1999-03-01', INTERVAL 1 MONTH) g(m)) WHERE strftime(m, '%Y%m') NOT IN (SELECT strftime(l_shipdate, '%Y%m') FROM lineitem)")
+@query("SELECT strftime(m, '%Y%m') AS month FROM (SELECT CAST(m AS TIMESTAMP) AS m FROM generate_series(DATE '2001-06-01', DATE '2002-03-01', INTERVAL 1 MONTH) g(m)) WHERE strftime(m, '%Y%m') NOT IN (SELECT strftime(l_shipdate, '%Y%m') FROM lineitem)")
 def s8_missing_months(t):
-    return S.read_months(t.lineitem.select(F.date_format("l_shipdate", "yyyyMM").alias("ym")), "ym", "199806", "199903")[1]
+    return S.read_months(t.lineitem.select(F.date_format("l_shipdate", "yyyyMM").alias("ym")), "ym", "200106", "200203")[1]
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS event_id, event_type AS kind FROM events")

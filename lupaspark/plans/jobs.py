@@ -1,4 +1,4 @@
-"""Published jobs: compositions of operators over the domain tables (D1-D23), and queries of the remaining rows."""
+"""Published jobs about money, sanctions, requests and the structure (the others are in offices), and queries of the remaining rows."""
 
 from __future__ import annotations
 
@@ -156,15 +156,38 @@ def f5_f13_names(t):
     )
 
 
-@query("SELECT event_id, CASE WHEN k % 4 = 0 THEN 'trip' WHEN k % 4 = 1 THEN 'hearing' WHEN k % 4 = 2 THEN 'meeting' ELSE 'other' END AS class, CASE WHEN k % 4 = 0 THEN 'PL' ELSE 'other' END AS bill, k % 2 = 1 AS abroad, CAST(k AS DOUBLE) AS amount FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)")
+def _pick(k, *values):
+    """The value whose place is k modulo their number."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
+
+
+def _sql_pick(k: str, *values) -> str:
+    return f"CASE {k} % {len(values)} " + " ".join(f"WHEN {i} THEN " + ("NULL" if v is None else f"'{v}'") for i, v in enumerate(values)) + " END"
+
+
+_K = "(SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"
+
+
+@query(f"SELECT event_id, {_sql_pick('k', 'trip', 'trip', 'hearing', 'hearing', 'meeting', 'meeting', 'event', 'event', 'other', 'other', 'other')} AS class, CASE WHEN k % 4 = 0 THEN 'PL' ELSE 'other' END AS bill, k % 2 = 1 AS abroad, CAST(k AS DOUBLE) AS amount FROM {_K}")
 def f28_f36_classes(t):
-    k = F.from_json("props", "k int")["k"]
-    e = t.events.select("event_id", k.alias("k"))
-    title = F.element_at(F.array(*[F.lit(x) for x in ("Viagem a Recife", "Audiência com A", "Reunião", "Outro")]), (F.col("k") % 4 + 1).cast("int"))
+    e = t.events.select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+    title = _pick(F.col("k"), "Viagem a Recife", "Partida para São Paulo", "Audiência com A", "Recebe a delegação", "Almoço com B", "Telefonema", "Cerimônia de posse", "Inauguração do posto", "Férias", None, "O fim da viagem")
     bill = F.when(F.col("k") % 4 == 0, "PLP").otherwise("XX")
     return e.select("event_id", C.class_by_patterns(title, C.EVENTS).alias("class"), C.class_by_rules(bill, {"PEC": "PEC"}, {"PL": "PL"}).alias("bill"), C.abroad(F.when(F.col("k") % 2 == 0, "Recife/PE").otherwise("Lisboa")).alias("abroad"), C.value_in_text(F.concat(F.lit("custa R$ "), "k", F.lit(",00 ao todo"))).cast("double").alias("amount"))
 
 
+@query(f"SELECT event_id, {_sql_pick('k', 'shelved', 'approved', 'approved', 'rejected', 'withdrawn', 'other')} AS outcome, {_sql_pick('k', 'public', 'public', 'law firm', 'sector', 'company', 'company', 'company', None, None)} AS marker, {_sql_pick('k', 'granted', 'denied', 'partial', 'nonexistent', 'not competent', 'not a request', 'duplicate', 'other')} AS nature, {_sql_pick('k', 'warning', 'fine', 'suspension', 'suspension', 'debarment', 'rescission', 'other')} AS penalty FROM {_K}")
+def f29_f37_closed_classes(t):
+    """Values as sources print them, each class at least once."""
+    k = F.col("k")
+    outcome = _pick(k, "Arquivada ao fim da legislatura", "Transformado em norma; sancionada", "Promulgada", "Vetado integralmente", "Retirado pelo autor", "Em tramitação")
+    name = _pick(k, "Secretaria de Estado da Saúde Ltda", "Advocacia-Geral da União", "Silva Advogados", "Federação das Indústrias", "Obras e Rodas LTDA", "Rodas S.A.", "Banco Rodas SA", "Maria Lima", "Funai Obras Ltda")
+    nature = _pick(k, "Acesso Concedido", "Acesso Negado", "Acesso Parcialmente Concedido", "Informação Inexistente", "Órgão não tem competência para responder sobre o assunto", "Não se trata de solicitação de informação", "Pergunta Duplicada/Repetida", "Encaminhada")
+    penalty = _pick(k, "Advertência e multa", "Multa de mora", "Impedimento de licitar", "Suspensão temporária", "Declaração de inidoneidade", "Rescisão unilateral", "Sem registro")
+    e = t.events.select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+    return e.select("event_id", C.class_by_patterns(outcome, C.OUTCOMES).alias("outcome"), C.interest_marker(name, ["FUNAI"]).alias("marker"), C.decision_nature(nature).alias("nature"), C.class_by_patterns(penalty, C.PENALTIES).alias("penalty"))
+
+
 @query("SELECT p_partkey FROM part WHERE p_partkey % 2 = 0")
 def p9_external_only(t):
     w = _word("p_partkey")
@@ -289,9 +312,13 @@ def x14_person_names(t):
     return t.customer.select("c_custkey", X.is_person_name(s).alias("person"))
 
 
-@query()
+@query("""SELECT n_nationkey AS page_id, unnest(generate_series(0, 1)) AS table_no, unnest([0, 0]) AS row_no, unnest(['Nome|UF', n_name || '|R' || n_regionkey]) AS cells FROM nation
+ UNION ALL SELECT n_nationkey, 1, 1, 'fim' FROM nation""")
 def x16_page_tables(t):
-    return X.page_tables(t.pages)
+    """Pages with two tables each, head cells, attributes and mark-up within cells."""
+    html = F.concat(F.lit("<h1>x</h1><table class='a'><tr><th>Nome</th><th> UF </th></tr></table> text <TABLE><tr><td id=1><b>"), "n_name", F.lit("</b></td>\n<td>R"), "n_regionkey", F.lit("</td></tr><tr><td>fim</td></tr></TABLE>"))
+    got = X.page_tables(t.nation.select(F.col("n_nationkey").alias("page_id"), html.alias("html")))
+    return got.select("page_id", "table_no", "row_no", F.array_join("cells", "|").alias("cells"))
 
 
 @query("SELECT p_partkey, 'left' AS side FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, 'right' FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 <> 0")

@@ -393,9 +393,9 @@ def j27_keep(t):
     return J.keep(t.spending(), t.supplier.where("s_acctbal > 5000").select(F.col("s_suppkey").alias("org")), ["org"]).agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey AS person FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey AS person FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
 def j28_uncovered(t):
-    return J.uncovered(t.customer.select(F.col("c_custkey").alias("person")), t.orders.select(F.col("o_custkey").alias("person")), ["person"])
+    return J.uncovered(t.customer.select(F.col("c_custkey").alias("person")), t.orders.where("o_totalprice > 450000").select(F.col("o_custkey").alias("person")), ["person"])
 
 
 @query("SELECT DISTINCT o_custkey AS person FROM orders WHERE o_custkey IN (SELECT l_suppkey FROM lineitem)")

@@ -58,7 +58,32 @@ def test_value_and_label(spark):
 
 
 def test_html_lines(spark):
-    assert one(spark, C.html_lines, "<script>x<y</script><p>A &amp; <b>B</b><br>C</p><!-- d -->") == ["A & B", "C"]
+    assert one(spark, C.html_lines, "<script>x<y</script><p>A &amp; <u>B</u><br>C</p><!-- d -->") == ["A & B", "C"]
+    assert one(spark, C.html_lines, "<td>Secret&aacute;ria de Educa&ccedil;&atilde;o &#8211; x</td><td>C&nbsp;D</td>") == ["Secretária de Educação - x", "C D"]
+    assert one(spark, C.html_lines, "<td>B</td><td>C</td><li>• E |</li>") == ["B", "C", "E"] and one(spark, C.html_lines, None) is None and one(spark, C.html_lines, "") == []
+
+
+def test_parse_acts(spark):
+    """Forms in which gazettes print acts."""
+    rows = [
+        (1, "O MINISTRO resolve NOMEAR o Senhor JOÃO LIMA para exercer o cargo de chefe de gabinete, código CCE 1.13."),
+        (2, "NOMEAR, a partir de 3 de março de 2024, MARIA DE SOUZA LIMA, para exercer o cargo em comissão de Diretora, do Ministério da Saúde."),
+        (3, "DISPENSAR, a pedido, o Dr. JOSÉ ALVES da função de Coordenador; DESIGNAR ANA D'ÁVILA REIS para a função comissionada de Assessora."),
+        (4, "Nada a nomear."), (5, None), (6, "EXONERAR, a pedido, a contar de 1º de maio, RUI BARBOSA do cargo de Secretário da Fazenda Nacional."),
+    ]
+    got = X.parse_acts(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert sorted((r.doc_id, r.act_no, r.verb, r.name, r.post) for r in got) == [
+        (1, 0, "nomear", "JOÃO LIMA", "chefe de gabinete"), (2, 0, "nomear", "MARIA DE SOUZA LIMA", "Diretora"), (3, 0, "dispensar", "JOSÉ ALVES", "Coordenador"),
+        (3, 1, "designar", "ANA D'ÁVILA REIS", "Assessora"), (6, 0, "exonerar", "RUI BARBOSA", "Secretário da Fazenda Nacional"),
+    ]
+
+
+def test_link_entities_long_forms(spark):
+    """A form of more words than a key has is found whole, and not by its beginning alone."""
+    long = "conselho de controle das contas do estado do rio de janeiro"
+    texts = spark.createDataFrame([(1, f"ontem o {long.title()} decidiu"), (2, "conselho de controle das contas do estado do acre"), (3, long), (4, None)], "doc_id int, text string")
+    got = X.link_entities(texts, spark.createDataFrame([(7, long), (8, "do acre")], "id int, form string")).collect()
+    assert sorted((r.doc_id, r.id, r["first"]) for r in got) == [(1, 7, 2), (2, 8, 7), (3, 7, 0)]
 
 
 def test_subsequence(spark):
