@@ -15,6 +15,9 @@ MAX_FILTER_BYTES = 8 << 20
 #: Shapes of rules (labels in the host, characters in the path) up to which keys of all shapes are made for each URL.
 MAX_SHAPES = 256
 
+#: Rules up to which they are broadcast to the exact join; common ones, such as a top-level domain, then never bring their URLs to one task.
+MAX_RULES = 100_000
+
 #: The rules of the registered query.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 #: A host with one of these words in a label is unwanted; its URLs make the list of the registered query.
@@ -120,9 +123,13 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "
     urls = urls.withColumn("maybe", check(hashes, mixed))
 
     possible = urls.where("maybe").drop("maybe")
+    asked = possible.select("host", "path", F.explode("keys").alias("key")).distinct()
+    by_rule = entries.where("key like 'r:%'")
+    if rules.count() <= MAX_RULES:
+        by_rule = F.broadcast(by_rule)
+    met = asked.where("key like 'r:%'").join(by_rule, "key").unionByName(asked.where("key like 'u:%'").join(entries.where("key like 'u:%'"), "key"))
     found = (
-        possible.select("host", "path", F.explode("keys").alias("key")).distinct().join(entries, "key").where(F.startswith("path", "rule_path"))
-        .groupBy("host", "path")
+        met.where(F.startswith("path", "rule_path")).groupBy("host", "path")
         .agg(F.max(F.struct(F.col("rule").isNotNull().alias("by_rule"), F.coalesce(F.length("rule"), F.lit(0)).alias("chars"), "host_chars", "rule", "verdict")).alias("best"))
     )
     judged = possible.join(found, ["host", "path"], "left").select("page_id", "host", "path", "best.rule", F.coalesce("best.verdict", F.lit("allow")).alias("verdict"), F.coalesce(~F.col("best.by_rule"), F.lit(False)).alias("listed"))
