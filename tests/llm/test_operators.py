@@ -136,6 +136,39 @@ def test_token_counts(spark, rule):
     assert tokencounts.attributed(docs(spark, []), RANKS, PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("rule", tokencounts.RULES)
+def test_token_counts_of_sections(spark, rule):
+    """Tokens laid over sections character by character; marks within tokens, so that tokens cross."""
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choice(["the ", "nation", " of", "al", "é", "日本", ".", "\n", "  ", "12"]) for _ in range(rng.randint(1, 60)))) for i in range(60)]
+    tokens = bpe.read_ranks(RANKS)
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={b: i for i, b in enumerate(tokens)}, special_tokens={})
+    mark = "at"
+    got = {(r.doc_id, r.section): (r.n_tokens, r.crossing) for r in tokencounts.attributed(docs(spark, rows), RANKS, PATTERN, mark=mark, rule=rule).collect()}
+    want, crossed = {}, 0
+    for i, text in rows:
+        section, bounds = [], 0
+        for c in range(len(text)):
+            section.append(bounds)
+            if text[: c + 1].endswith(mark) and (c + 1 == len(text) or c + 1 >= 2):
+                bounds += c + 1 < len(text)
+        for s in range((section[-1] if section else 0) + 1):
+            want[i, s] = [0, 0]
+        at = 0
+        # A byte's character counts as read once its first byte is; a token holds the characters that it is first to read.
+        lead = [c for c, x in enumerate(text) for _ in x.encode()]
+        done = 0
+        for n in map(len, map(tokens.__getitem__, own.encode_ordinary(text))):
+            stop = lead[at + n - 1] + 1
+            mine = [section[c] for c in range(done, stop)] or [section[min(done, len(text) - 1)]]
+            at, done = at + n, stop
+            pick = mine[0] if rule == "start" else mine[-1] if rule == "end" else max(sorted(set(mine)), key=mine.count)
+            want[i, pick][0] += 1
+            want[i, pick][1] += len(set(mine)) > 1
+            crossed += len(set(mine)) > 1
+    assert crossed > 10 and got == {k: tuple(v) for k, v in want.items()}
+
+
 def _sections(t):
     out, at = [], 0
     for line in t.split("\n")[:-1]:
