@@ -17,7 +17,7 @@ from lupaspark.llm.common import written
 from lupaspark.llm.simhash import fingerprint
 
 #: Bound of what the classifier is fitted on: labelled rows of each label. All their terms are indexed.
-MAX_EXAMPLES = 1000
+MAX_EXAMPLES = 500
 #: A term's weight grows with the likelihood ratio of its association with the label, from LEAST to 1; half of that is reached at HALF.
 LEAST, HALF = 0.02, 24.0
 #: Examples whose fingerprints differ in so few bits count once in the likelihood ratio.
@@ -82,6 +82,19 @@ class Terms:
         ids, where = np.unique(np.array(names, dtype=np.int64), return_inverse=True)
         return ids, np.bincount(where, weights=times, minlength=len(ids)).astype(np.int64)
 
+    def present(self, text: bytes | None) -> np.ndarray:
+        """The terms that a text has."""
+        met, names = self.met, []
+        if len(met) > MEMO:
+            met.clear()
+            self.begins.clear()
+        for word in {*words_of(text)}:
+            own = met.get(word)
+            if own is None:
+                met[word] = own = self._own(word)
+            names += own
+        return np.unique(np.array(names, dtype=np.int64))
+
     def _own(self, word: str) -> list[int]:
         if self.at is None:
             return [hashed(t) for t in terms_of(word)]
@@ -308,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, tuple[np.ndarray
         df, seen = np.zeros(len(sent_terms.value) + 1, dtype=np.int64), 0
         for b in it:
             for x in b.column(0):
-                df[terms.counts(x.as_py())[0]] += 1
+                df[terms.present(x.as_py())] += 1
             seen += b.num_rows
         df[-1] = seen
         used = np.flatnonzero(df)
