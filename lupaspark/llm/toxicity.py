@@ -187,7 +187,7 @@ class Index:
         ids, w = ids[row < 0], w[row < 0]
         cells, n = ranges(self.of_term[ids], self.of_term[ids + 1])
         weights = np.repeat(w, n)
-        bound = np.bincount(self.block[cells], weights=weights * self.most[cells], minlength=self.blocks) + own @ self.table_most[table]
+        bound = np.bincount(self.block[cells], weights=weights * self.most[cells], minlength=self.blocks) + np.einsum("i,ij->j", own, self.table_most[table])
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best = self._best(cells, weights, table, own, order[:FIRST_BLOCKS], k)
@@ -206,7 +206,7 @@ class Index:
         score = np.bincount(self.who[at], weights=np.repeat(weights[inside], n) * self.x[at], minlength=self.blocks * BLOCK).astype(float)
         if len(table):
             for block in blocks.tolist():
-                score[block * BLOCK : (block + 1) * BLOCK] += own @ self.table[block].take(table, axis=0)
+                score[block * BLOCK : (block + 1) * BLOCK] += np.einsum("i,ij->j", own, self.table[block].take(table, axis=0))  # small: threads would cost more than they save
         score = score.round(5)
         hit = np.flatnonzero(score)
         if len(hit) > 4 * k:  # no need to sort those below the k-th
