@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lupaspark.llm import bpe, decontam, lattice, linededup, neardup, simhash, tokencounts, toxicity, urlfilter, warc
+from lupaspark.llm import bpe, decontam, infill, lattice, linededup, neardup, resampling, simhash, suffixes, tokencounts, toxicity, urlfilter, warc
 from lupaspark.session import table
 
 #: The vocabularies of the queries; the operators take any path.
@@ -67,8 +67,31 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, rules, urlfilter.listed_urls(pages, urlfilter.UNWANTED))
 
 
+def op11_columns(docs: DataFrame) -> DataFrame:
+    """Digests of the output, and of the text rebuilt from output and form."""
+    rebuilt = infill.restored(F.col("form"), F.col("output"))
+    return infill.transformed(docs).select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(rebuilt, 256).alias("restored_sha256"))
+
+
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_columns(table(spark, sf_dir, "documents"))
+
+
+def op12_columns(docs: DataFrame) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return suffixes.deduplicated(docs).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_neardup, op2_lm_scoring, op3_simhash, op4_decontamination, op5_toxicity, op6_line_dedup, op7_token_counts, op8_bpe, op9_warc, op10_url_filter)}
+    return {f.__name__: f for f in (op1_embedding_neardup, op2_lm_scoring, op3_simhash, op4_decontamination, op5_toxicity, op6_line_dedup, op7_token_counts, op8_bpe, op9_warc, op10_url_filter, op11_fim, op12_suffix_dedup, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
