@@ -241,24 +241,41 @@ def class_by_patterns(s: Column, ladder: list[tuple[str, str]], other: str | Non
 # Ladders of patterns for penalties, outcomes and event titles, markers of interests, and the values of decisions.
 PENALTIES = [("advert", "warning"), ("multa", "fine"), ("impediment|suspens", "suspension"), ("declara|inidon", "debarment"), ("rescis", "rescission")]
 OUTCOMES = [("arquiv", "shelved"), ("aprovad|sancionad|promulgad", "approved"), ("rejeitad|vetad", "rejected"), ("retirad", "withdrawn")]
-EVENTS = [
-    (r"^\s*(viagem|deslocamento|embarque|desembarque|partida|chegada|retorno|decolagem|pouso)", "trip"),
-    ("audiencia|recebe ", "hearing"),
-    ("reuniao|encontro|despacho|conversa|almoco|jantar|cafe da manha|videoconferencia|telefonema|ligacao", "meeting"),
-    ("cerimonia|evento|solenidade|posse|lancamento|entrevista|sessao|abertura|visita|pronunciamento|discurso|participa|assinatura|anuncio|entrega|inaugura|comemora|homenagem|cupula|assembleia|conferencia|seminario|programa|gravacao", "event"),
-]
-MARKERS = [
-    (r"\bminister|secretari|prefeitur|municip|estadual|governo|camara municipal|assembleia|tribunal|universidade federal|instituto federal|fundacao universidade|agencia nacional|conselho nacional|\b(uniao|federal)\b|embaixada|consulado|procuradoria|defensoria|policia|hospital universitario", "public"),
-    (r"\b(advogados?|advocacia)\b", "law firm"),
-    (r"\b(associacao|federacao|confederacao|sindicatos?)\b", "sector"),
-    (r"\b(ltda|eireli|epp|mei)\b|\bs[ ./]a\b|\bsa$", "company"),
-]
+#: Words of event titles, folded, in the order in which the published rules list them: their order decides nothing inside a class, the classes' order does.
+EVENT_WORDS = {
+    "trip": ["partida", "chegada", "embarque", "desembarque", "viagem", "retorno", "deslocamento", "decolagem", "pouso"],
+    "hearing": ["audiencia", "recebe "],
+    "meeting": ["reuniao", "encontro", "despacho", "conversa", "almoco", "jantar", "cafe da manha", "videoconferencia", "telefonema", "ligacao"],
+    "event": [
+        "cerimonia", "solenidade", "evento", "lancamento", "posse", "entrevista", "sessao", "abertura", "visita", "pronunciamento", "discurso", "participa", "assinatura",
+        "anuncio", "entrega", "inaugura", "comemora", "homenagem", "cupula", "assembleia", "conferencia", "seminario", "programa", "gravacao",
+    ],
+}
+#: A trip's word begins the title; the others stand anywhere.
+EVENTS = [("|".join(rf"^\s*{w}" if kind == "trip" else w for w in words), kind) for kind, words in EVENT_WORDS.items()]
+#: Marks of an entity's name, as patterns over folded text, in the order of the published rules.
+MARKER_WORDS = {
+    "public": [
+        r"\bminister", "secretari", "prefeitur", "municip", "estadual", "governo", "camara municipal", "assembleia", "tribunal", "universidade federal", "instituto federal",
+        "fundacao universidade", "agencia nacional", "conselho nacional", r"\buniao\b", r"\bfederal\b", "embaixada", "consulado", "procuradoria", "defensoria", "policia", "hospital universitario",
+    ],
+    "law firm": [r"\badvogados?\b", r"\badvocacia\b"],
+    "sector": [r"\bassociacao\b", r"\bfederacao\b", r"\bconfederacao\b", r"\bsindicato\b", r"\bsindicatos\b"],
+    "company": [r"\bltda\b", r"\bs[ ./]a\b", r"\beireli\b", r"\bepp\b", r"\bmei\b", r"\bsa\b$"],
+}
+MARKERS = [("|".join(words), kind) for kind, words in MARKER_WORDS.items()]
 NATURES = {
     "acesso concedido": "granted", "acesso negado": "denied", "acesso parcialmente concedido": "partial", "informacao inexistente": "nonexistent",
     "orgao nao tem competencia para responder sobre o assunto": "not competent", "nao se trata de solicitacao de informacao": "not a request", "pergunta duplicada repetida": "duplicate",
 }
-#: Elements that begin or end a line of a page.
-BLOCKS = "p|div|br|li|tr|td|th|h[1-6]|ul|ol|dl|dt|dd|table|article|section|header|footer|nav|title|head|body|html|main|hr|blockquote|figure|figcaption|span|strong|b|em|i|a"
+#: Elements that HTML's rendering rules lay out as blocks, list items or parts of tables, and the line break.
+BLOCKS = [
+    "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
+    "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "listing", "main", "menu", "nav", "ol", "optgroup", "option", "p", "plaintext", "pre", "search",
+    "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul", "xmp",
+]
+#: Elements whose content is never shown as text.
+HIDDEN = ["script", "style", "template", "noscript", "textarea", "svg"]
 
 
 @F.pandas_udf(StringType())
@@ -303,14 +320,18 @@ def hash_id(*parts: Column, n: int = 8) -> Column:
 
 
 def html_lines(page: Column) -> Column:
-    """text lines of a page: scripts, styles and comments dropped, element bounds as line ends, entities unescaped, dashes as hyphens. Pages without entities stay in the JVM."""
-    t = F.regexp_replace(page, r"(?is)<(script|style|noscript|svg|select)\b.*?</\1>|<!--.*?-->", " ")
-    t = F.regexp_replace(t, rf"(?i)</?({BLOCKS})(\s[^>]*)?/?>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", " ")
-    t = F.when(F.contains(t, F.lit("&")), unescaped(F.when(F.contains(t, F.lit("&")), t))).otherwise(t)
-    t = F.regexp_replace(F.translate(t, "\u00a0\u200b\u3164", "   "), "[\u2010-\u2015\u2212]", "-")
-    line = lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^[ |·•*]+|[ |·•*]+$", "")
-    return F.filter(F.transform(F.split(t, "\n"), line), lambda x: x != "")
+    """the text lines of a page: what its blocks hold, without other tags, entities as their characters, any run of blanks as one space.
+
+    Hidden elements and comments are cut, dashes become hyphens, and marks of lists at a line's ends go. Pages without entities stay in the JVM.
+    """
+    shown = F.regexp_replace(page, rf"(?is)<({'|'.join(HIDDEN)})\b.*?</\1\s*>|<!--.*?-->", "")
+    blocks = F.split(shown, rf"(?i)</?(?:{'|'.join(BLOCKS)})(?=[\s/>])[^>]*>|[\r\n]+")
+    text = F.array_join(F.transform(blocks, lambda x: F.regexp_replace(x, "<[^>]*>", " ")), "\n")
+    entity = text.contains("&")
+    text = F.when(entity, unescaped(F.when(entity, text))).otherwise(text)
+    blank, mark = r"[\s\p{Z}\p{Cf}\x{3164}]", r"[\s\p{Sm}\p{So}\x{2022}\x{b7}*]"
+    clean = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, f"{blank}+", " "), r"[\p{Pd}\x{2212}]", "-"), f"^{mark}+|{mark}+$", "")
+    return F.filter(F.transform(F.split(text, "\n"), clean), lambda x: x != "")
 
 
 def veto_subject(s: Column, most: int = 110) -> Column:
