@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lupaspark.functions import columns as C
+from lupaspark.session import checkpointed
 
 
 def derive_edges(nodes: DataFrame, explicit: DataFrame) -> DataFrame:
@@ -38,6 +39,65 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.array_sort(F.collect_set("o")).alias("out"), F.array_sort(F.collect_set("i")).alias("in"))
 
 
+def pages_of_neighbours(edges: DataFrame, size: int = 1000) -> DataFrame:
+    """(id, way, page, neighbours): sorted distinct neighbours, about `size` on a page; way is 'out' or 'in'. edges(from, to); edges with a null end count for nothing.
+
+    A page is a hash of the neighbour among as many as the node's degree asks for, so that a hub is many rows, put together in many tasks; most nodes have page 0 alone.
+    """
+    both = edges.select(F.col("from").alias("id"), F.lit("out").alias("way"), F.col("to").alias("other")).unionByName(edges.select(F.col("to").alias("id"), F.lit("in").alias("way"), F.col("from").alias("other")))
+    both = both.where("id is not null and other is not null").distinct()
+    hubs = both.groupBy("id", "way").agg(F.count("*").alias("n")).where(F.col("n") > size).select("id", "way", F.ceil(F.col("n") / size).cast("int").alias("pages"))
+    paged = both.join(hubs, ["id", "way"], "left").withColumn("page", F.when(F.col("pages").isNull(), 0).otherwise(F.pmod(F.xxhash64("other"), F.col("pages")).cast("int")))
+    return paged.groupBy("id", "way", "page").agg(F.array_sort(F.collect_list("other")).alias("neighbours"))
+
+
+def _doubled(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """(id, up, steps, ring): pointers after as many doublings as reach every root, and how many those were.
+
+    A pointer joins itself: after n rounds it has gone 2^n steps up, or stands at a root. Pointers that still move once 2^n is past the number of nodes are on a cycle or hang below one.
+    Each round is a join on ids and is written, so that a lost executor costs a round's task.
+    """
+    now = nodes.select("id", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("ring").cast("long").alias("ring"), F.col("ring").cast("long").alias("up_ring"))
+    known = nodes.select(F.col("id").alias("_p"), F.col("ring").cast("long").alias("_r"))
+    # A parent that is no node ends the walk, as its own root.
+    now = now.join(known, F.col("up") == F.col("_p"), "left").select("id", F.when(F.col("_p").isNotNull(), F.col("up")).alias("up"), F.when(F.col("_p").isNotNull(), F.col("steps")).otherwise(0).alias("steps"), F.greatest("ring", F.col("_r") + 1).alias("ring"))
+    now, left, rounds = checkpointed(now), nodes.count(), 0
+    while True:
+        moving = now.where("up is not null").count()
+        if moving == 0 or (1 << rounds) > left:
+            return now, moving
+        far = now.select(F.col("id").alias("_i"), F.col("up").alias("_u"), F.col("steps").alias("_s"), F.col("ring").alias("_r"))
+        now = checkpointed(now.join(far, F.col("up") == F.col("_i"), "left").select("id", F.col("_u").alias("up"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"), F.greatest("ring", F.col("_r") + F.col("steps")).alias("ring")))
+        rounds += 1
+
+
+def depths(nodes: DataFrame, top: int = 4) -> DataFrame:
+    """N2, N4 to any depth: (id, depth, ring, cyclic): steps to the root; the ring, at least each ancestor's and one more for each step between, at most `top`; whether the walk up never ends.
+
+    nodes(id, parent, ring), ids unique. The number of joins is the logarithm of the depth. Depth is null and the ring `top` where the walk never ends; a parent that is no node ends it; a null ring counts as 0.
+    """
+    out, _ = _doubled(nodes.select("id", "parent", F.coalesce("ring", F.lit(0)).alias("ring")))
+    cyclic = F.col("up").isNotNull()
+    return out.select("id", F.when(~cyclic, F.col("steps")).alias("depth"), F.when(cyclic, top).otherwise(F.least("ring", F.lit(top))).cast("int").alias("ring"), cyclic.alias("cyclic"))
+
+
+def full_closure(nodes: DataFrame) -> DataFrame:
+    """N2 to any depth: (node, ancestor, depth), each pair once at its least depth; on a cycle a node is not its own ancestor. nodes(id, parent).
+
+    Doubling: pairs up to 2^n steps joined with themselves give those up to 2^(n+1), so that joins are few though chains are long. The result has a row for each pair, as closures do.
+    """
+    now = checkpointed(nodes.where("parent is not null").select(F.col("id").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth")).distinct())
+    size = now.count()
+    while True:
+        a, b = now.alias("a"), now.alias("b")
+        longer = a.join(b, F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth")).where("node <> ancestor")
+        after = checkpointed(now.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        grown = after.count()
+        if grown == size:
+            return after.where("node <> ancestor")
+        now, size = after, grown
+
+
 def propagate_ring(nodes: DataFrame, passes: int = 4, top: int = 4) -> DataFrame:
     """A child's ring is at least its parent's plus one, at most `top`. nodes(id, parent, ring)."""
     out = nodes.select("id", "parent", "ring")

@@ -23,9 +23,22 @@ def in_force_join(events: DataFrame, spans: DataFrame, key: list[str], at: str,
 
 
 def who_was(df: DataFrame, spans: DataFrame, at: str, start: str = "since", end: str = "until") -> DataFrame:
-    """Who held the post on a day; spans of a few rows, so that a range join with their broadcast serves. The later start wins on a shared day."""
-    days = df.select(F.col(at).cast("date").alias("_d")).distinct()
-    held = days.join(spans, (F.col("_d") >= F.col(start)) & (F.col(end).isNull() | (F.col("_d") <= F.col(end)))).groupBy("_d").agg(F.max_by("holder", start).alias("holder"))
+    """Df with `holder`, who held the post on a day; the later start wins on a shared day, then the greater holder. spans(holder, start, end); a null end is open, a null start never holds.
+
+    A sweep without a range join: spans are cut at the bounds of months. Whole months of a span, one row each, reduce to the month's latest start in a partial aggregate; the days of the
+    months that it only touches are at most 31 rows. Days then meet months and days by equality, and only those of df, whose first and last month bound open spans.
+    """
+    days = df.select(F.col(at).cast("date").alias("_d")).where("_d is not null").distinct()
+    bounds = days.agg(F.min("_d").alias("_first"), F.max("_d").alias("_last"))
+    known = spans.select("holder", F.col(start).cast("date").alias("_s"), F.col(end).cast("date").alias("_e")).where("_s is not null")
+    cut = known.join(F.broadcast(bounds)).where("_s <= _last and (_e is null or (_e >= _first and _e >= _s))")  # one row
+    cut = cut.select(F.struct(F.col("_s").alias("start"), "holder").alias("_who"), F.greatest("_s", "_first").alias("_s"), F.least(F.coalesce("_e", "_last"), "_last").alias("_e"))
+    month = cut.withColumn("_m", F.explode(F.sequence(F.trunc("_s", "month"), F.trunc("_e", "month"), F.expr("interval 1 month"))))
+    whole = (F.col("_s") <= F.col("_m")) & (F.col("_e") >= F.last_day("_m"))
+    months = month.where(whole).groupBy("_m").agg(F.max("_who").alias("_by_month"))
+    part = month.where(~whole).select("_who", F.explode(F.sequence(F.greatest("_s", "_m"), F.least("_e", F.last_day("_m")))).alias("_d"))
+    single = part.groupBy("_d").agg(F.max("_who").alias("_by_day"))
+    held = days.withColumn("_m", F.trunc("_d", "month")).join(months, "_m", "left").join(single, "_d", "left").select("_d", F.greatest("_by_month", "_by_day")["holder"].alias("holder"))
     return df.join(held, F.col(at).cast("date") == F.col("_d"), "left").drop("_d")
 
 
