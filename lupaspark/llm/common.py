@@ -45,6 +45,11 @@ def written_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it whatever it holds: dots, blanks, backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def looked_up(left: DataFrame, right: DataFrame, keys: list[str], spread: str) -> DataFrame:
     """Inner join of left with right(keys, n, ...), whose keys are unique and stand in n rows of left, that no frequent key brings to one task.
 

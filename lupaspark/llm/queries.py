@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lupaspark.llm import bpe, decontam, infill, lattice, linededup, neardup, resampling, simhash, suffixes, tokencounts, toxicity, urlfilter, warc
+from lupaspark.llm import bpe, decontam, infill, lattice, linededup, neardup, oracles, resampling, simhash, suffixes, tokencounts, toxicity, urlfilter, warc
 from lupaspark.session import table
 
 #: The vocabularies of the queries; the operators take any path.
@@ -95,4 +95,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lupaspark.llm.common import connected_components, looked_up, written
+from lupaspark.llm.common import connected_components, looked_up, quoted, written
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -109,4 +109,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Rows that repeat the kept doc_id stay with it; rows without doc_id stay.
     """
     gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[quoted(c) for c in docs.columns])

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -151,6 +152,17 @@ def test_covers():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_beside_sql(spark, name):
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    got = queries.queries()[name](spark, sf)
+    want = con.sql(queries.oracle_sql()[name])
+    assert sorted(want.columns) == sorted(got.columns)
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

@@ -25,7 +25,7 @@ def test_stages(spark):
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
-CLASHING = "doc_id long, text string, n_chars int, row int, name string, removed int, removed_lines string, component_id long, fp long, toxic int, item_id long, words string, h long, label int"
+CLASHING = "doc_id long, text string, n_chars int, row int, name string, removed int, removed_lines string, component_id long, fp long, toxic int, item_id long, words string, h long, label int, `a.b` string, `c d` int"
 
 
 @pytest.fixture(scope="module")
@@ -43,7 +43,7 @@ def odd(spark, tmp_path_factory):
     spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{home}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{home}/none/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{home}/none/benchmark.parquet")
-    docs = spark.createDataFrame([(i, t, len(t or ""), 1, "n", 2, "r", 3, 4, 5, 6, "w", 7, 8) for i, t in rows], CLASHING)
+    docs = spark.createDataFrame([(i, t, len(t or ""), 1, "n", 2, "r", 3, 4, 5, 6, "w", 7, 8, "ab", 9) for i, t in rows], CLASHING)
     return home, rows, docs
 
 
