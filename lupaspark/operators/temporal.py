@@ -114,6 +114,12 @@ def weekly_counts(df: DataFrame, key: list[str], date: str, as_of, n: int = 12)
     return df.withColumn("week", week).where(F.col("week").between(0, n - 1)).groupBy(*key, "week").agg(F.count("*").alias("n"))
 
 
+def every_week(counts: DataFrame, keys_of: DataFrame, key: list[str], n: int = 12) -> DataFrame:
+    """counts(key, week, n) with a zero for each week of the last n in which a key of keys_of(key) has no row."""
+    weeks = keys_of.select(*key).distinct().withColumn("week", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return weeks.join(counts, [*key, "week"], "left").select(*key, "week", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def heat(df: DataFrame, key: str, date: str, as_of, k: int = 20) -> DataFrame:
     """Twice the rows of the last 7 days and a tenth of those of the last 90; the k hottest."""
     age = F.datediff(F.lit(as_of).cast("date"), F.col(date).cast("date"))
@@ -173,6 +179,13 @@ def weekly_views(df: DataFrame, key: str, date: str, value: str) -> DataFrame:
     return df.groupBy(key, C.week_start(F.col(date)).alias("week")).agg(F.sum(value).alias("views"))
 
 
+def views_to_date(df: DataFrame, key: str, date: str, value: str, as_of) -> DataFrame:
+    """(key, week, views, last_7): sums by week, and beside each the key's sum of the seven days up to as_of."""
+    age = F.datediff(F.lit(as_of).cast("date"), F.col(date).cast("date"))
+    recent = df.groupBy(key).agg(F.coalesce(F.sum(F.when(age.between(0, 6), F.col(value))), F.lit(0)).alias("last_7"))
+    return weekly_views(df, key, date, value).join(recent, key)
+
+
 def once(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row for each key, the first by an order that is total."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
