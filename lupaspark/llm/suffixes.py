@@ -4,7 +4,7 @@ Suffixes matter to a depth of `length` bytes only. A difference cover of period
 sampled positions stand at one distance from both starts, with 30 equal bytes from there. First the sample is ranked: its 30-byte strings are hashed, sorted
 bucket by bucket, and only those of more than one document are kept. Suffixes none of whose sampled positions is among them tie with no other document and are
 never sorted. The others go to suffix buckets, by the smallest hash of a 16-byte string in them, as pieces of text: equal strings share it. Buckets are sorted one
-at a time: by 7 bytes, and long ties by the ranks of a cover sample of period 7 inside the bucket (`earlier`). Memory is that of one block or bucket.
+at a time: by their first and last bytes, and long ties by the ranks of a cover sample of period 7 inside the bucket (`earlier`). Memory is that of one block or bucket.
 
 Copies of a piece in one block, and in one bucket, are sorted once; exact copies of a text are collapsed by a partial aggregate. So a passage of a third of all rows sends one row a block.
 """
@@ -98,12 +98,12 @@ def ranked(columns: list[np.ndarray]) -> np.ndarray:
     return ranks
 
 
-def earlier(texts: list[bytes], owners: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each text: of its strings of `length` bytes, by start, whether the same string stands in a text of a smaller owner.
+def earlier(texts: list[bytes], owners: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(first string of each text, found): of all strings of `length` bytes, text by text and by start, whether the same string stands in a text of a smaller owner.
 
-    One suffix bucket. Starts are sorted by their first 7 bytes; those alone in their block are done. Two of one block, i and j, have a distance d
-    at which both i + d and j + d are in the cover sample. Sampled strings of length - 6 bytes are ranked once; the two are equal if their first
-    bytes, the ranks at i + d and j + d and their last 7 bytes are. So each start meets all its equals within the groups of three distances.
+    One suffix bucket. Starts are sorted by a number made of their first, middle and last 7 bytes; those alone with theirs are done. The others fall into blocks by
+    their first and last 7 bytes. Two of one block, i and j, have a distance d at which both i + d and j + d are in the cover sample. Sampled strings of
+    length - 6 bytes are ranked once; the two are equal if their block and the ranks at i + d and j + d are. So each start meets all its equals in the groups of three distances.
     """
     data, sizes = b"".join(texts) + _PAD, np.array([len(t) for t in texts], dtype=np.int64)
     begins = np.cumsum(sizes) - sizes
@@ -113,12 +113,12 @@ def earlier(texts: list[bytes], owners: np.ndarray, length: int = LENGTH) -> lis
     start = np.arange(int(counts.sum()), dtype=np.int64) - base[text] + begins[text]
     found = np.zeros(len(start), dtype=bool)
     head = words_at(data, 0, 1, len(data) - 7, ">u8").astype(np.uint64) >> np.uint64(8)
-    order = np.argsort(head[start], kind="stable")
-    s = head[start[order]]
-    same = s[1:] == s[:-1]
+    mixed = head[start] * _MIX[0] + head[start + length // 2] * _MIX[1] + head[start + length - 7] * _MIX[2]
+    order = np.argsort(mixed, kind="stable")
+    same = mixed[order[1:]] == mixed[order[:-1]]
     tied = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(order) else order
     at, owner = start[tied], owners[text[tied]]
-    block, tail = head[at], head[at + length - 7]
+    block = ranked([head[at], head[at + length - 7]])
     residue = at % TIE_PERIOD
     wanted = np.zeros(len(data), dtype=bool)
     distances = [(d, np.flatnonzero(np.isin((residue + d) % TIE_PERIOD, TIE_COVER))) for d in range(TIE_PERIOD)]
@@ -129,25 +129,28 @@ def earlier(texts: list[bytes], owners: np.ndarray, length: int = LENGTH) -> lis
     rank[sampled] = ranked([words_at(data, k, 1, len(data) - 7 - k, ">u8")[sampled].astype(np.uint64) for k in (*range(0, width - 8, 8), width - 8)])
     least = owner.copy()
     for d, who in distances:
-        columns = [block[who], rank[at[who] + d].astype(np.uint64), tail[who]]
-        order = np.lexsort(columns[::-1])
-        new = np.zeros(len(order), dtype=bool)
-        new[:1] = True
-        for c in columns:
-            s = c[order]
-            new[1:] |= s[1:] != s[:-1]
+        key = (block[who] << 32) | rank[at[who] + d]
+        order = np.argsort(key, kind="stable")
+        new = np.diff(key[order], prepend=-1) != 0
         first = np.flatnonzero(new)
         if len(first):
             smallest = np.repeat(np.minimum.reduceat(owner[who[order]], first), np.diff(np.append(first, len(order))))
             least[who[order]] = np.minimum(least[who[order]], smallest)
     found[tied] = least < owner
-    return np.split(found, base[1:])
+    return base, found
 
 
-def covered(found: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Runs of bytes, from and to, under the starts found."""
-    edges = np.flatnonzero(np.diff(found.astype(np.int8), prepend=0, append=0))
-    return [(int(i), int(j) - 1 + length) for i, j in zip(edges[::2], edges[1::2])]
+def covered(base: np.ndarray, found: np.ndarray, length: int) -> dict[int, list[tuple[int, int]]]:
+    """By text: runs of bytes, from and to, under the starts found; texts without any are left out."""
+    begins = np.zeros(len(found) + 1, dtype=bool)
+    begins[base] = begins[-1] = True  # a run ends with its text
+    first = np.flatnonzero(found & (begins[:-1] | ~np.concatenate(([False], found[:-1]))))
+    last = np.flatnonzero(found & (begins[1:] | ~np.concatenate((found[1:], [False]))))
+    text = np.searchsorted(base, first, side="right") - 1
+    out: dict[int, list[tuple[int, int]]] = {}
+    for t, i, j in zip(text.tolist(), (first - base[text]).tolist(), (last - base[text] + length).tolist()):
+        out.setdefault(t, []).append((i, j))
+    return out
 
 
 def candidates(places: np.ndarray, ends: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -303,10 +306,11 @@ def _removed(dealt: DataFrame, length: int) -> DataFrame:
         for d, t in zip(owners, texts):
             if least.setdefault(t, d) > d:
                 least[t] = d
-        first = dict(zip(least, earlier(list(least), np.fromiter(least.values(), dtype=np.int64, count=len(least)), length)))
+        spans = covered(*earlier(list(least), np.fromiter(least.values(), dtype=np.int64, count=len(least)), length), length)
+        number = {t: n for n, t in enumerate(least)}
         out: dict[int, tuple[list, list]] = {}
         for d, p, t, block in zip(owners, places, texts, blocks):
-            for i, j in [(0, len(t))] if least[t] < d else covered(first[t], length):
+            for i, j in [(0, len(t))] if least[t] < d else spans.get(number[t], ()):
                 starts, stops = out.setdefault(block, ([], []))
                 starts.append(p + i)
                 stops.append(p + j)

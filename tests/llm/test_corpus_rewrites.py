@@ -142,9 +142,13 @@ def test_suffix_bucket(length):
     for t, d in zip(texts, owners.tolist()):
         for k in range(len(t) - length + 1):
             first[t[k : k + length]] = min(first.get(t[k : k + length], d), d)
-    got = suffixes.earlier(texts, owners, length)
-    for t, d, found in zip(texts, owners.tolist(), got, strict=True):
-        assert found.tolist() == [first[t[k : k + length]] < d for k in range(len(t) - length + 1)]
+    base, found = suffixes.earlier(texts, owners, length)
+    spans = suffixes.covered(base, found, length)
+    for n, (t, d, got) in enumerate(zip(texts, owners.tolist(), np.split(found, base[1:]), strict=True)):
+        want = [first[t[k : k + length]] < d for k in range(len(t) - length + 1)]
+        assert got.tolist() == want
+        bytes_under = {k + x for k, w in enumerate(want) if w for x in range(length)}
+        assert {x for i, j in spans.get(n, []) for x in range(i, j)} == bytes_under
 
 
 def test_covers():
