@@ -410,10 +410,11 @@ def i3_retain(t):
     return I.retain(store, d, ["text"], "day", 180, AS_OF).select("doc_id", "content_id")
 
 
-@query("SELECT DISTINCT CAST(ts AS DATE) AS day FROM events ORDER BY day DESC LIMIT 5")
+@query("SELECT DISTINCT CAST(ts AS DATE) AS day FROM events ORDER BY day DESC LIMIT 15")
 def i4_windows_log(t):
+    """A log of the windows up to one day, and those read since some days before it."""
     d = t.events.select(F.to_date("ts").alias("day"))
-    return I.windows_log(d.where("event_id % 2 = 0"), d, "day", 5) if "event_id" in d.columns else I.windows_log(d.distinct(), d.distinct(), "day", 5)
+    return I.windows_log(d.where("day < date '2024-01-20'").distinct(), d.where("day >= date '2024-01-10'").distinct(), "day", 15)
 
 
 @query("SELECT c_custkey AS person FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE DATE '1998-08-01' - CAST(o_orderdate AS DATE) <= 60)")
@@ -532,6 +533,13 @@ def x1_link_entities(t):
     return X.link_entities(t.documents, _forms(t), most=1000).select("doc_id", "id", "form")
 
 
+@query("WITH f AS (SELECT min(item_id) AS id, form FROM (SELECT item_id, " + _norm("text", "a-z0-9") + " AS form FROM benchmark) WHERE form <> '' GROUP BY form HAVING count(DISTINCT item_id) = 1), d AS (SELECT doc_id, ' ' || " + _norm("text", "a-z0-9") + " || ' ' AS n FROM documents) SELECT doc_id, id, form FROM d JOIN f ON contains(n, ' ' || form || ' ')")
+def x1_long_forms(t):
+    """Whole items as forms, far longer than the words by which they are met."""
+    forms = t.benchmark.select(F.col("item_id").alias("id"), C.norm_alnum(F.col("text")).alias("form")).where("form <> ''")
+    return X.link_entities(t.documents, forms, most=1000).select("doc_id", "id", "form")
+
+
 @query("SELECT doc_id, topic FROM documents JOIN (VALUES ('money', 'license'), ('work', 'worthless'), ('work', 'idiot')) k(topic, word) ON contains(" + FOLD.format("text") + ", word) GROUP BY ALL")
 def x4_tag_topics(t):
     return X.tag_topics(t.documents, {"money": ["license"], "work": ["worthless", "idiot"]})

@@ -137,13 +137,13 @@ def _seat_tables(t):
     posts = t.supplier.select(F.col("s_suppkey").alias("post"), F.col("s_nationkey").alias("family"), (F.col("s_suppkey") % 5 + 1).alias("seats"))
     rules = t.nation.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("family"), F.lit("A").alias("block"), (F.col("n_nationkey") * 100 + 1000).alias("monthly"))
     factors = t.lineitem.select(F.col("l_returnflag").alias("block")).distinct().select("block", F.lit(12).alias("times"), F.when(F.col("block") == "N", 50000).alias("cap"), F.when(F.col("block") == "R", 4).alias("amortise_years"))
-    facts = t.lineitem.where("l_linenumber = 1 and l_quantity < 10").select(F.col("l_suppkey").alias("post"), F.col("l_returnflag").alias("block"), F.col("l_extendedprice").alias("value"))
+    facts = t.lineitem.select(F.col("l_suppkey").alias("post"), F.col("l_returnflag").alias("block"), F.col("l_extendedprice").alias("value"))
     return posts, rules, factors, facts
 
 
 SEATS = """WITH posts AS (SELECT s_suppkey AS post, s_nationkey AS family, s_suppkey % 5 + 1 AS seats FROM supplier), rules AS (SELECT n_nationkey AS family, 'A' AS block, n_nationkey * 100 + 1000 AS monthly FROM nation WHERE n_nationkey % 2 = 0),
  factors AS (SELECT DISTINCT l_returnflag AS block, 12 AS times, CASE WHEN l_returnflag = 'N' THEN 50000.0 END AS cap, CASE WHEN l_returnflag = 'R' THEN 4 END AS years FROM lineitem),
- m AS (SELECT l_suppkey AS post, l_returnflag AS block, count(*) AS n, median(l_extendedprice) AS med, min(l_extendedprice) AS a, max(l_extendedprice) AS z FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 10 GROUP BY ALL),
+ m AS (SELECT l_suppkey AS post, l_returnflag AS block, count(*) AS n, median(l_extendedprice) AS med, min(l_extendedprice) AS a, max(l_extendedprice) AS z FROM lineitem GROUP BY ALL),
  law AS (SELECT post, block, 'law' AS basis, CAST(monthly AS DOUBLE) AS v, NULL AS lo, NULL AS hi FROM posts JOIN rules USING (family)),
  b AS (SELECT * FROM law UNION ALL SELECT post, block, 'measured', CASE WHEN n >= 5 THEN med ELSE (a + z) / 2 END, CASE WHEN n < 5 THEN a END, CASE WHEN n < 5 THEN z END FROM m WHERE n >= 3 AND (post, block) NOT IN (SELECT (post, block) FROM law)),
  blocks AS (SELECT post, block, basis, round_even(least(v, coalesce(cap, v)) * times / coalesce(years, 1), 3) AS annual, round_even(least(lo, coalesce(cap, lo)) * times / coalesce(years, 1), 3) AS low, round_even(least(hi, coalesce(cap, hi)) * times / coalesce(years, 1), 3) AS high, lo, hi FROM b JOIN factors USING (block))"""

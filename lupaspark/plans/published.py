@@ -1,4 +1,4 @@
-"""Queries of the composed jobs: occupants, contract alerts, meetings, news (D6, D15, D19, D20), weeks and views."""
+"""Queries of the composed jobs: occupants, contract alerts, campaigns, meetings, news, the bundle (D6, D13, D15, D19, D20, S16), weeks and views."""
 
 from __future__ import annotations
 
@@ -6,13 +6,19 @@ from pyspark.sql import functions as F
 
 from lupaspark.functions import columns as C
 from lupaspark.jobs import alerts as AL
+from lupaspark.jobs import bundle as B
+from lupaspark.jobs import campaign as CM
 from lupaspark.jobs import meetings as M
 from lupaspark.jobs import news as N
 from lupaspark.jobs import occupants as O
+from lupaspark.operators import aggregates as A
+from lupaspark.operators import graph as G
 from lupaspark.operators import temporal as T
+from lupaspark.sources import sinks as K
+from lupaspark.session import scratch
 from lupaspark.plans.facts import FOLD, _forms, _norm
 from lupaspark.plans.mechanisms import _WORD, _word
-from lupaspark.plans.registry import AS_OF, CONTRACTS, LOG, SANCTIONS, money, query
+from lupaspark.plans.registry import AS_OF, CONTRACTS, LOG, ORGANS, SANCTIONS, SPENDING, money, query
 
 
 def _decrees(t):
@@ -158,3 +164,78 @@ def w12_every_week(t):
     """Twelve weeks of each kind, those without events too."""
     e = t.events.select(F.col("event_type").alias("kind"), F.to_date("ts").alias("day"))
     return T.every_week(T.weekly_counts(e, ["kind"], "day", AS_OF), e, ["kind"])
+
+
+def _candidacies(t):
+    """Two years of each customer: known by full name, by short name and state, with another birth, in another state, without a birth."""
+    c, n, k = F.concat, F.col("c_custkey"), F.col("c_custkey") % 5
+    w = _word(n)
+    birth = F.make_date(F.lit(1950) + (n % 30).cast("int"), F.lit(1), F.lit(1))
+    people = t.customer.select(n.alias("person_id"), c(F.lit("Ana "), w, F.lit(" Silva")).alias("name"), w.alias("short"), F.col("c_nationkey").alias("uf"), birth.alias("birth"))
+    full = F.when(k.isin(0, 2, 4), c(F.lit("ANA "), F.upper(w), F.lit(" DA SILVA"))).otherwise(c(F.lit("Outra "), w, F.lit(" Pessoa")))
+    cands = t.customer.select((n * 10).alias("id"), full.alias("name"), w.alias("short"), F.when(k == 3, F.col("c_nationkey") + 100).otherwise(F.col("c_nationkey")).alias("uf"), F.when(k == 2, F.date_add(birth, 1)).when(k != 4, birth).alias("birth"), F.explode(F.array(F.lit(2018), F.lit(2022))).alias("year"))
+    return cands.withColumn("cand_id", F.col("id") + F.when(F.col("year") == 2022, 1).otherwise(0)).drop("id"), people
+
+
+_CANDS = "m AS (SELECT c_custkey AS person_id, CASE c_custkey % 5 WHEN 0 THEN 'full name' WHEN 4 THEN 'full name' WHEN 1 THEN 'short name and state' WHEN 2 THEN 'birth differs' ELSE 'unique short name' END AS how FROM customer)"
+
+
+@query(f"WITH {_CANDS} SELECT how, year, count(*) AS n, count(CASE WHEN how <> 'birth differs' THEN person_id END) AS people FROM m, (VALUES (2018), (2022)) y(year) GROUP BY ALL")
+def d13_people(t):
+    cands, people = _candidacies(t)
+    return CM.people_of(cands, people).groupBy("how", "year").agg(F.count("*").alias("n"), F.count_distinct("person_id").alias("people"))
+
+
+@query(f"""WITH {_CANDS}, a AS (SELECT o_custkey AS person_id, CASE WHEN o_orderkey % 2 = 0 THEN 2018 ELSE 2022 END AS year, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS v FROM orders JOIN m ON m.person_id = o_custkey WHERE how <> 'birth differs' GROUP BY ALL),
+ e AS (SELECT person_id, min(year) AS first_year, max(year) AS last_year, min_by(v, year) AS f, max_by(v, year) AS l, min_by(CAST(v AS DOUBLE) * 150.0 / CASE year WHEN 2018 THEN 100.0 ELSE 130.0 END, year) AS r0, max_by(CAST(v AS DOUBLE) * 150.0 / CASE year WHEN 2018 THEN 100.0 ELSE 130.0 END, year) AS r1 FROM a GROUP BY 1)
+ SELECT person_id, first_year, last_year, CAST(f AS DOUBLE) AS first, CAST(l AS DOUBLE) AS last, round_even((CAST(l AS DOUBLE) - CAST(f AS DOUBLE)) * 100 / CAST(f AS DOUBLE), 1) AS nominal_pct, round_even((r1 - r0) * 100 / r0, 1) AS real_pct FROM e""")
+def d13_assets(t):
+    assets = t.orders.select((F.col("o_custkey") * 10 + F.col("o_orderkey") % 2).alias("cand_id"), F.col("o_totalprice").cast("decimal(18,2)").alias("value"))
+    prices = t.spark.createDataFrame([(2018, 100.0), (2022, 130.0)], "year int, idx double")
+    return CM.assets_over_time(CM.people_of(*_candidacies(t)), assets, prices, 150.0).select("person_id", "first_year", "last_year", *money("first", "last"), "nominal_pct", "real_pct")
+
+
+@query(f"""WITH {_CANDS}, d AS (SELECT o_custkey AS person_id, l_suppkey AS donor, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS v FROM orders JOIN m ON m.person_id = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE how <> 'birth differs' GROUP BY ALL),
+ s AS (SELECT person_id, round_even(CAST(sum(v) FILTER (r <= 5) AS DOUBLE) / CAST(sum(v) AS DOUBLE), 4) AS top_share FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY v DESC, donor) AS r FROM d) GROUP BY 1),
+ n AS (SELECT person_id, count(*) AS donors FROM d WHERE donor % 2 = 1 OR v >= 50000 GROUP BY 1), p AS (SELECT DISTINCT o_custkey AS person_id, o_orderkey % 100 AS donor FROM orders), b AS (SELECT person_id, count(*) AS donor_payees FROM d JOIN p USING (person_id, donor) GROUP BY 1)
+ SELECT person_id, coalesce(donors, 0) AS donors, top_share, coalesce(donor_payees, 0) AS donor_payees FROM s LEFT JOIN n USING (person_id) LEFT JOIN b USING (person_id)""")
+def d13_donors(t):
+    given = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("o_custkey") * 10 + F.col("o_orderkey") % 2).alias("cand_id"), F.col("l_suppkey").alias("donor"), F.when(F.col("l_suppkey") % 2 == 0, "individual").otherwise("company").alias("kind"), F.col("l_extendedprice").cast("decimal(18,2)").alias("value"))
+    payees = t.orders.select(F.col("o_custkey").alias("person_id"), (F.col("o_orderkey") % 100).alias("payee"))
+    return CM.donors_of(CM.people_of(*_candidacies(t)), given, payees, 50000)
+
+
+def _bundle(t):
+    """The twelve tables from the organs, the customers as people, the log as changes and the money facts."""
+    organs = t.organs()
+    explicit = t.spark.createDataFrame([], "type string, from string, to string, note string")
+    none = [F.lit(None).cast("string").alias(c) for c in ("head_of", "appointed_by", "confirmed_by", "nominated_by")]
+    people = t.customer.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("party"), F.col("c_nationkey").cast("string").alias("uf"))
+    seats = t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("post_id"), F.col("s_name").alias("post"), (F.col("s_suppkey") % 50).cast("string").alias("person_id"), F.col("s_suppkey").alias("seat"))
+    spending = t.spending()
+    parts = {
+        "nodes": organs.withColumnRenamed("kind", "type"), "links": G.derive_edges(organs.select("id", "parent", *none), explicit).withColumn("cite", F.col("note")), "people": people, "occupants": seats,
+        "changes": t.log().select(F.col("day").alias("date"), F.col("verb").alias("kind"), F.col("person").cast("string").alias("person"), F.col("unit").cast("string").alias("post_id")),
+        "revenue": A.sum_by(spending, ["year"], ["paid"]).select("year", F.col("paid").alias("value")),
+        "amendments": A.sum_by(spending.withColumn("id", F.col("org").cast("string")), ["id", "year"], ["committed", "paid"]),
+        "travel": spending.groupBy(F.col("org").cast("string").alias("id")).agg(F.count("*").alias("trips"), F.sum("paid").alias("total"), F.count_if(F.col("dest") == "F").alias("abroad")),
+    }
+    return B.tables(parts)
+
+
+@query(f"""SELECT 'nodes' AS "table", count(*) AS rows, 9 AS columns FROM {ORGANS} o UNION ALL SELECT 'links', count(*), 4 FROM {ORGANS} o WHERE parent IS NOT NULL UNION ALL SELECT 'people', count(*), 5 FROM customer UNION ALL SELECT 'occupants', count(*), 11 FROM supplier
+ UNION ALL SELECT 'changes', count(*), 7 FROM {LOG} l UNION ALL SELECT 'inaction', 0, 4 UNION ALL SELECT 'topics', 0, 3 UNION ALL SELECT 'revenue', count(DISTINCT year), 3 FROM {SPENDING} s
+ UNION ALL SELECT 'amendments', count(*), 5 FROM (SELECT DISTINCT org, year FROM {SPENDING} s JOIN customer ON c_custkey = org) UNION ALL SELECT 'offices', 0, 6 UNION ALL SELECT 'assets', 0, 8 UNION ALL SELECT 'travel', count(DISTINCT org), 5 FROM {SPENDING} s JOIN customer ON c_custkey = org""")
+def s16_bundle(t):
+    """The bundle written, and its manifest."""
+    return K.write_bundle(_bundle(t), scratch(t.spark, "bundle"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_mktsegment AS party, CAST(c_nationkey AS VARCHAR) AS uf, p AS posts FROM customer LEFT JOIN (SELECT s_suppkey % 50 AS id, string_agg(s_name, ' | ' ORDER BY s_suppkey) AS p FROM supplier GROUP BY 1) s ON s.id = c_custkey""")
+def s16_people(t):
+    return _bundle(t)["people"]
+
+
+@query(f"""SELECT CAST(org AS VARCHAR) AS id, c_name AS name, year, CAST(sum(committed) AS DOUBLE) AS committed, CAST(sum(paid) AS DOUBLE) AS paid FROM {SPENDING} s JOIN customer ON c_custkey = org GROUP BY ALL""")
+def s16_amendments(t):
+    return _bundle(t)["amendments"].select("id", "name", "year", *money("committed", "paid"))

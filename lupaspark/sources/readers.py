@@ -25,10 +25,23 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType | str | No
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
+def first_bytes(spark: SparkSession, path: str, n: int) -> bytes:
+    """The first n bytes of the first file by path. The listing reads no contents; the file is opened where it lies, and no more than its head is read."""
+    row = spark.read.format("binaryFile").load(path).select("path").orderBy("path").limit(1).first()
+    if row is None:
+        return b""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(row[0])
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, n)))
+    finally:
+        stream.close()
+
+
 def sniff(spark: SparkSession, path: str, head: int = 65536) -> tuple[str, str]:
-    """Encoding and separator by the first file's first bytes, which one task reads."""
-    row = spark.read.format("binaryFile").load(path).orderBy("path").limit(1).select(F.substring("content", 1, head).alias("b")).first()
-    data = bytes(row[0]) if row else b""
+    """Encoding and separator by the first file's first bytes."""
+    data = first_bytes(spark, path, head)
     if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return "utf-16", ";"
     try:
