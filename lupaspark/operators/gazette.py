@@ -53,7 +53,7 @@ class Walk:
     pending: list[str] = field(default_factory=list)
     held: list[str] = field(default_factory=list)
     batch: list[dict] = field(default_factory=list)
-    last_post: str | None = None
+    last_post: tuple[str | None, str | None] = (None, None)
     refused: bool = False
     events: list[dict] = field(default_factory=list)
 
@@ -89,10 +89,10 @@ class Walk:
         organ = None
         if post and (m := _ORGAN.search(folded(post))):
             post, organ = post[: m.start()], post[m.start(1) :].strip(" ,.")
-        post = self.last_post if same else (post or "").strip(" ,.") or None
+        post, organ = self.last_post if same else ((post or "").strip(" ,.") or None, organ)
         names, self.pending = self.pending, []
         if names and post:
-            self.last_post = post
+            self.last_post = post, organ
             self.emit(names, post, organ, None)
 
     def clause(self, text: str) -> None:
@@ -113,8 +113,10 @@ class Walk:
                 self.take_names(text[: m.start()])
             self.take_post(m[1], text[m.start(3) : m.end(3)] if m[3] else None)
         elif (m := _ORGAN.match(plain)) and self.batch:
+            organ = text[m.start(1) :].strip(" ,.")
             for e in self.batch:
-                e["organ"] = e["organ"] or text[m.start(1) :].strip(" ,.")
+                e["organ"] = e["organ"] or organ
+            self.last_post = self.last_post[0], self.last_post[1] or organ
         elif not self.pending or person_name(text) or re.search(r"\be\b", plain):
             self.take_names(text)
 

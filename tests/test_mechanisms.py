@@ -66,6 +66,7 @@ def test_segments(spark):
     [
         ("Resolve NOMEAR ANA LIMA SOUZA, BRUNO DIAS e CARLA REIS, para exercerem o cargo de Auditor do Ministério da Fazenda.", [("nomear", n, "Auditor", "Ministério da Fazenda", None) for n in ("ANA LIMA SOUZA", "BRUNO DIAS", "CARLA REIS")]),
         ("EXONERAR, a pedido, o Sr. ANA LIMA do cargo de Chefe e NOMEAR BRUNO DIAS para o referido cargo.", [("exonerar", "ANA LIMA", "Chefe", None, None), ("nomear", "BRUNO DIAS", "Chefe", None, None)]),
+        ("EXONERAR ANA LIMA do cargo de Diretor do Departamento de Obras, e NOMEAR BRUNO DIAS para o mesmo cargo.", [("exonerar", "ANA LIMA", "Diretor", "Departamento de Obras", None), ("nomear", "BRUNO DIAS", "Diretor", "Departamento de Obras", None)]),
         ("Designar: I - ANA LIMA, assessora; II - BRUNO DIAS; ambos para a função de confiança de Chefe do Gabinete do Ministro.", [("designar", n, "Chefe", "Gabinete do Ministro", None) for n in ("ANA LIMA", "BRUNO DIAS")]),
         ("NOMEAR ANA LIMA e BRUNO DIAS para os cargos de Chefe, respectivamente.", [("nomear", n, None, None, "posts do not fit") for n in ("ANA LIMA", "BRUNO DIAS")]),
         ("Tornar sem efeito a portaria que nomeou ANA LIMA para o cargo de Chefe.", []),
