@@ -1,4 +1,4 @@
-"""Queries of the composed jobs: occupants, contract alerts, campaigns, meetings, news, the bundle (D6, D13, D15, D19, D20, S16), weeks and views."""
+"""Queries of the composed jobs: occupants, contract alerts, campaigns, meetings, news, the bundle, boards, the structure (D6, D13, D15-D17, D19-D21, S16), weeks and views."""
 
 from __future__ import annotations
 
@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from lupaspark.functions import columns as C
 from lupaspark.jobs import alerts as AL
+from lupaspark.jobs import board as BD
 from lupaspark.jobs import bundle as B
 from lupaspark.jobs import campaign as CM
 from lupaspark.jobs import meetings as M
 from lupaspark.jobs import news as N
 from lupaspark.jobs import occupants as O
+from lupaspark.jobs import structure as ST
 from lupaspark.operators import aggregates as A
 from lupaspark.operators import graph as G
 from lupaspark.operators import temporal as T
@@ -239,3 +241,67 @@ def s16_people(t):
 @query(f"""SELECT CAST(org AS VARCHAR) AS id, c_name AS name, year, CAST(sum(committed) AS DOUBLE) AS committed, CAST(sum(paid) AS DOUBLE) AS paid FROM {SPENDING} s JOIN customer ON c_custkey = org GROUP BY ALL""")
 def s16_amendments(t):
     return _bundle(t)["amendments"].select("id", "name", "year", *money("committed", "paid"))
+
+
+@query(f"""WITH c AS (SELECT *, CAST(CASE WHEN signed + 120 < DATE '1998-01-01' - 30 THEN 'long overdue' WHEN signed + 120 < DATE '1998-01-01' THEN 'overdue' ELSE 'open' END AS VARCHAR) AS s FROM {CONTRACTS} x WHERE status <> 'F')
+ SELECT buyer AS post, CASE WHEN contract % 50 = 0 THEN 'suspended' ELSE s END AS state, n_name AS responsible, count(*) AS n, min(signed + 120) AS oldest_due FROM c JOIN nation ON n_nationkey = buyer GROUP BY ALL""")
+def d16_open_items(t):
+    """Contracts as items: closed by the text of their outcome, suspended now and then, answered for by the post's first holder who does not act for another."""
+    outcome = F.when(F.col("status") == "F", "Arquivado por decisão terminativa").when(F.col("status") == "O", "Em andamento")
+    items = t.contracts().select(F.col("contract").alias("item_id"), F.col("buyer").alias("post"), F.col("signed").alias("opened"), (F.col("contract") % 50 == 0).alias("suspended"), outcome.alias("outcome"))
+    one = t.nation.select(F.col("n_nationkey").cast("long").alias("post"), F.lit(2).alias("seat"), F.col("n_name").alias("name"), F.lit(False).alias("acting"))
+    occupants = one.unionByName(one.withColumns({"seat": F.lit(1), "acting": F.lit(True), "name": F.lit("interino")})).unionByName(one.withColumns({"seat": F.lit(3), "name": F.lit("outro")}))
+    return BD.open_items(items, occupants, "1998-01-01", 120).groupBy("post", "state", "responsible").agg(F.count("*").alias("n"), F.min("due").alias("oldest_due"))
+
+
+@query(f"""WITH p AS (SELECT contract, signed + CAST(contract % 200 AS INTEGER) AS moved, status = 'F' AS closed, signed + 120 AS deadline, CASE decision WHEN '1-URGENT' THEN ['urgent'] WHEN '5-LOW' THEN ['calm'] WHEN '4-NOT SPECIFIED' THEN ['calm', 'vague'] END AS ts FROM {CONTRACTS} x),
+ q AS (SELECT unnest(ts) AS topic, * FROM p), k AS (SELECT topic, count(q.topic) FILTER (q.contract IS NOT NULL) AS n, bool_and(closed) AS all_closed, max(moved) AS last, min(deadline) FILTER (NOT closed) AS due FROM (VALUES ('urgent'), ('calm'), ('vague'), ('absent')) v(topic) LEFT JOIN q USING (topic) GROUP BY topic),
+ w AS (SELECT event_type AS topic, date_trunc('week', ts) AS week, sum(CAST(value AS DECIMAL(18,2))) AS v FROM events GROUP BY ALL)
+ SELECT topic, CASE WHEN n = 0 THEN 'none' WHEN all_closed THEN 'closed' WHEN due < DATE '1998-06-01' THEN 'overdue' WHEN DATE '1998-06-01' - last <= 30 THEN 'moving' ELSE 'stalled' END AS state, CAST(DATE '1998-06-01' - last AS INTEGER) AS days_still, CAST(NULL AS DOUBLE) AS peak, CAST(NULL AS BOOLEAN) AS silent FROM k""")
+def d16_topics(t):
+    words = {"urgent": ["urgent"], "calm": ["low", "not specified"], "vague": ["specified"], "absent": ["nada consta"]}
+    p = t.contracts().select(F.col("contract").alias("process"), F.concat(F.lit("Projeto "), "decision").alias("title"), F.expr("date_add(signed, cast(contract % 200 as int))").alias("moved"), (F.col("status") == "F").alias("closed"), F.date_add("signed", 120).alias("deadline"))
+    views = t.events.select(F.col("event_type").alias("topic"), F.to_date("ts").alias("date"), F.col("value").cast("decimal(18,2)").alias("value"))
+    return BD.topics(p, words, views, "1998-06-01").select("topic", "state", "days_still", *money("peak"), "silent")
+
+
+@query("""WITH o AS (SELECT l_orderkey AS o, sum(CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY 1), w AS (SELECT 'f' || (o % 30) AS function, CAST(sum(v) AS BIGINT) AS waived FROM o GROUP BY 1), b AS (SELECT s_nationkey AS ministry, sum(CAST(s_acctbal AS DECIMAL(18,2))) AS budget FROM supplier GROUP BY 1)
+ SELECT function, waived, CASE WHEN n < 25 THEN n END AS ministry, CAST(budget AS DOUBLE) AS budget, round_even(CAST(waived AS DOUBLE) / CAST(budget AS DOUBLE), 4) AS ratio FROM (SELECT *, CAST(substr(function, 2) AS BIGINT) AS n FROM w) LEFT JOIN b ON ministry = n ORDER BY waived DESC, function LIMIT 12""")
+def d17_waived(t):
+    """Orders as functions of a sheet each followed by its lines, one sheet an order; ministries by number."""
+    lines = t.lineitem.select(F.col("l_orderkey").alias("section"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).cast("long").alias("n"), F.lit("item").alias("label"), (F.col("l_quantity").cast("long") * 10).alias("value"))
+    heads = lines.groupBy("section").agg(F.sum("value").alias("value")).select("section", F.lit(0).cast("long").alias("n"), F.concat(F.lit("f"), F.col("section") % 30).alias("label"), "value")
+    ministries = t.nation.select(F.concat(F.lit("f"), "n_nationkey").alias("function"), F.col("n_nationkey").cast("long").alias("ministry"))
+    budgets = t.supplier.groupBy(F.col("s_nationkey").cast("long").alias("ministry")).agg(F.sum(F.col("s_acctbal").cast("decimal(18,2)")).alias("budget"))
+    top = BD.waived(heads.unionByName(lines), ministries, budgets)[0]
+    return top.select("function", (F.col("waived") / 10).cast("long").alias("waived"), "ministry", *money("budget"), F.bround(F.col("ratio") / 10, 4).alias("ratio"))
+
+
+def _registry(t):
+    """Regions above nations above departments above suppliers; departments are no organs; suppliers share ids and names."""
+    row = lambda code, id_, above, name, nature, organ: [code.alias("code"), id_.alias("id"), above.alias("above"), name.alias("name"), F.lit(nature).alias("nature"), F.lit(organ).alias("is_organ")]
+    c = F.concat
+    r = t.region.select(*row(c(F.lit("r"), "r_regionkey"), c(F.lit("region-"), "r_regionkey"), F.lit(None).cast("string"), F.col("r_name"), "Órgão constitucional", True))
+    n = t.nation.select(*row(c(F.lit("n"), "n_nationkey"), c(F.lit("nation-"), "n_nationkey"), c(F.lit("r"), "n_regionkey"), F.col("n_name"), "Autarquia", True))
+    d = t.nation.select(*row(c(F.lit("d"), "n_nationkey"), c(F.lit("department-"), "n_nationkey"), c(F.lit("n"), "n_nationkey"), F.lit("Departamento"), "Departamento", False))
+    s = t.supplier.select(*row(c(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 8, "0")), c(F.lit("division-"), F.col("s_suppkey") % 10), c(F.lit("d"), "s_nationkey"), c(F.lit("Divisão "), F.col("s_suppkey") % 10), "Fundação", True))
+    curated = t.nation.where("n_nationkey % 3 = 0").select(c(F.lit("nation-"), "n_nationkey").alias("id"), c(F.lit("Nação "), "n_nationkey").alias("name"), F.lit(None).cast("string").alias("nature"), F.array(F.col("n_name")).alias("aliases"))
+    return r.unionByName(n).unionByName(d).unionByName(s), curated
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, s_nationkey AS nk, 's' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS code, 'division-' || (s_suppkey % 10) AS i, row_number() OVER (PARTITION BY s_suppkey % 10 ORDER BY s_suppkey) AS r, count(*) OVER (PARTITION BY s_suppkey % 10) AS c FROM supplier),
+ n AS (SELECT n_nationkey AS nk, CASE WHEN n_nationkey % 3 = 0 THEN 'Nação ' || n_nationkey ELSE n_name END AS name FROM nation)
+ SELECT 'region-' || r_regionkey AS id, 'r' || r_regionkey AS code, r_name AS name, NULL AS parent, NULL AS how, 'generated' AS origin, 0::BIGINT AS depth, 1 AS ring, false AS cyclic FROM region
+ UNION ALL SELECT 'nation-' || n_nationkey, 'n' || n_nationkey, n.name, 'region-' || n_regionkey, 'direct', CASE WHEN n_nationkey % 3 = 0 THEN 'both' ELSE 'generated' END, 1, 2, false FROM nation JOIN n ON nk = n_nationkey
+ UNION ALL SELECT CASE WHEN r = 1 THEN i ELSE i || '-' || code END, code, 'Divisão ' || (k % 10) || CASE WHEN c > 1 THEN ' – ' || n.name ELSE '' END, 'nation-' || nk, 'through unit', 'generated', 2, 3, false FROM s JOIN n USING (nk)""")
+def d21_organs(t):
+    return ST.structure(*_registry(t), {"constitucional": 1, "autarquia": 2, "fundacao": 3})
+
+
+@query(f"""WITH {_TENURES}, w AS (SELECT post_id AS unit, person, start, stop, spans, lead(stop) OVER (PARTITION BY post_id ORDER BY start DESC, person) AS prior, row_number() OVER (PARTITION BY post_id ORDER BY start DESC, person) AS n FROM tn)
+ SELECT unit, person, start, CASE WHEN stop < DATE '9999-12-31' THEN stop END AS "end", spans, CASE WHEN prior IS NULL OR prior = DATE '9999-12-31' THEN true ELSE start - prior > 365 END AS missing_predecessor FROM w WHERE stop >= DATE '2024-01-15' AND n <= 40""")
+def d21_history(t):
+    """Tenures of the units as their history, none of the present holders lacking."""
+    terms = O.tenures(O.gazette_events(_decrees(t), _posts(t))).select(F.col("post_id").alias("unit"), "person", "start", "end")
+    spans = O.tenures(O.gazette_events(_decrees(t), _posts(t)))
+    return ST.history(terms, terms.where("end is null"), "2024-01-15").drop("spans").join(spans.select(F.col("post_id").alias("unit"), "person", "start", "spans"), ["unit", "person", "start"])
