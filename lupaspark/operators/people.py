@@ -36,7 +36,8 @@ def aligned_person(left: DataFrame, right: DataFrame, least_organ: float = 0.3)
     other. Of several the most alike organ wins, then who is in office, the top authority for heads, titulars, the later start, the smaller id. Candidates of different names
     without a shared organ word are 'homonyms' and refused. Rows with null names match nothing.
 
-    Names meet by their first word and, for either side, one of the two rarest other words or such a word less a letter: a pair that counts has at most one of them missing.
+    Names meet by their first word and, for either side, the rarest of its other words (of three and more the two rarest) or such a word less a letter: a pair that
+    counts has one word missing at most, and none if there are but three, so that common names are no key.
     """
     words = lambda c: F.filter(C.tokens(F.col(c)), lambda t: ~t.isin(C.CONNECTIVES))
     a = left.select("left_id", words("name").alias("a"), words("organ").alias("ao"), F.coalesce("is_head", F.lit(False)).alias("is_head")).where(F.size("a") > 0)
@@ -52,7 +53,8 @@ def aligned_person(left: DataFrame, right: DataFrame, least_organ: float = 0.3)
     la, rb = firsts(a, "left_id", "a"), firsts(b, "right_id", "b")
     for mine, key, other in ((la, "left_id", rb), (rb, "right_id", la)):
         rank = F.row_number().over(Window.partitionBy(key, "i").orderBy("n", "w"))
-        rare = mine.distinct().join(every, "w").withColumn("_r", rank).where("_r <= 2").select(key, "first", F.explode(deletions(F.col("w"))).alias("k")).distinct()
+        others = F.count("*").over(Window.partitionBy(key, "i"))
+        rare = mine.distinct().join(every, "w").withColumns({"_r": rank, "_others": others}).where("_r <= if(_others > 2, 2, 1)").select(key, "first", F.explode(deletions(F.col("w"))).alias("k")).distinct()
         pairs = rare.join(other.select([c for c in other.columns if c.endswith("_id")][0], "first", F.explode(deletions(F.col("w"))).alias("k")).distinct(), ["first", "k"]).select("left_id", "right_id")
         met = pairs if met is None else met.unionByName(pairs)
     alone = a.where(F.size("a") == 1).join(b.where(F.size("b") == 1), F.col("a") == F.col("b")).select("left_id", "right_id")

@@ -265,7 +265,7 @@ def d16_topics(t):
     return BD.topics(p, words, views, "1998-06-01").select("topic", "state", "days_still", *money("peak"), "silent")
 
 
-@query("""WITH o AS (SELECT l_orderkey AS o, sum(CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY 1), w AS (SELECT 'f' || (o % 30) AS function, CAST(sum(v) AS BIGINT) AS waived FROM o GROUP BY 1), b AS (SELECT s_nationkey AS ministry, sum(CAST(s_acctbal AS DECIMAL(18,2))) AS budget FROM supplier GROUP BY 1)
+@query("""WITH o AS (SELECT l_orderkey AS o, 10 * sum(CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY 1), w AS (SELECT 'f' || (o % 30) AS function, CAST(sum(v) AS BIGINT) AS waived FROM o GROUP BY 1), b AS (SELECT s_nationkey AS ministry, sum(CAST(s_acctbal AS DECIMAL(18,2))) AS budget FROM supplier GROUP BY 1)
  SELECT function, waived, CASE WHEN n < 25 THEN n END AS ministry, CAST(budget AS DOUBLE) AS budget, round_even(CAST(waived AS DOUBLE) / CAST(budget AS DOUBLE), 4) AS ratio FROM (SELECT *, CAST(substr(function, 2) AS BIGINT) AS n FROM w) LEFT JOIN b ON ministry = n ORDER BY waived DESC, function LIMIT 12""")
 def d17_waived(t):
     """Orders as functions of a sheet each followed by its lines, one sheet an order; ministries by number."""
@@ -273,8 +273,7 @@ def d17_waived(t):
     heads = lines.groupBy("section").agg(F.sum("value").alias("value")).select("section", F.lit(0).cast("long").alias("n"), F.concat(F.lit("f"), F.col("section") % 30).alias("label"), "value")
     ministries = t.nation.select(F.concat(F.lit("f"), "n_nationkey").alias("function"), F.col("n_nationkey").cast("long").alias("ministry"))
     budgets = t.supplier.groupBy(F.col("s_nationkey").cast("long").alias("ministry")).agg(F.sum(F.col("s_acctbal").cast("decimal(18,2)")).alias("budget"))
-    top = BD.waived(heads.unionByName(lines), ministries, budgets)[0]
-    return top.select("function", (F.col("waived") / 10).cast("long").alias("waived"), "ministry", *money("budget"), F.bround(F.col("ratio") / 10, 4).alias("ratio"))
+    return BD.waived(heads.unionByName(lines), ministries, budgets)[0].select("function", "waived", "ministry", *money("budget"), "ratio")
 
 
 def _registry(t):
