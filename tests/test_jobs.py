@@ -6,11 +6,13 @@ import pytest
 
 from lupaspark.functions import columns as C
 from lupaspark.jobs import alerts as AL
+from lupaspark.jobs import board as BD
 from lupaspark.jobs import bundle as B
 from lupaspark.jobs import campaign as CM
 from lupaspark.jobs import meetings as M
 from lupaspark.jobs import news as N
 from lupaspark.jobs import occupants as O
+from lupaspark.jobs import structure as ST
 from lupaspark.operators import aggregates as A
 from lupaspark.operators import resolve as R
 from lupaspark.sources import readers as S
@@ -128,3 +130,31 @@ def test_parts_and_heads_of_files(spark, tmp_path):
     assert rows(S.read_parts(spark, str(tmp_path / "*.csv"), "_BRASIL"), "x") == [("a",), ("b",)]
     assert S.first_bytes(spark, str(tmp_path / "*.csv"), 4) == b"x;y\n" and S.first_bytes(spark, str(tmp_path / "uf_SP.csv"), 1000) == b"x;y\na;1\n"
     assert S.sniff(spark, str(tmp_path)) == ("utf-8", ";")
+
+
+def test_boards(spark):
+    items = spark.createDataFrame([(1, "p", D(2024, 1, 1), False, None), (2, "p", D(2024, 1, 1), True, "Em análise"), (3, "p", D(2024, 1, 1), False, "Projeto APROVADO"), (4, "q", D(2024, 5, 1), False, None), (5, None, None, False, None)], "item_id int, post string, opened date, suspended boolean, outcome string")
+    seats = spark.createDataFrame([("p", 1, "Ana", True), ("p", 2, "Rui", False), ("p", 3, "Eva", False)], "post string, seat int, name string, acting boolean")
+    got = BD.open_items(items, seats, "2024-06-01", 120)
+    assert rows(got, "item_id", "state", "responsible") == [(1, "long overdue", "Rui"), (2, "suspended", "Rui"), (4, "open", None), (5, "open", None)]
+    processes = spark.createDataFrame([(1, "Reforma da saúde", D(2024, 5, 20), False, D(2024, 9, 1)), (2, "Saúde e obras", D(2024, 1, 1), True, None), (3, None, None, None, None)], "process int, title string, moved date, closed boolean, deadline date")
+    views = spark.createDataFrame([("saude", D(2024, 1, 1) + dt.timedelta(weeks=w), 500 if w == 1 else 50) for w in range(12)] + [("obras", D(2024, 1, 1), 9)], "topic string, date date, value int")
+    got = BD.topics(processes, {"saude": ["saude"], "obras": ["obras"], "nada": ["xyz"]}, views, "2024-06-01")
+    assert rows(got) == [("nada", "none", None, None, None), ("obras", "closed", 152, 9, False), ("saude", "moving", 12, 500, True)]
+    sheet = spark.createDataFrame([("a", 1, "Saúde", 30), ("a", 2, "x", 10), ("a", 3, "y", 20), ("b", 1, "Saúde", 5), ("b", 2, "z", 5), ("b", 3, "solto", 7)], "section string, n int, label string, value int")
+    top, each = BD.waived(sheet, spark.createDataFrame([("Saúde", "m")], "function string, ministry string"), spark.createDataFrame([("m", 70)], "ministry string, budget int"))
+    assert rows(top, "function", "waived", "ministry", "budget", "ratio") == [("Saúde", 35, "m", 70, 0.5)]
+    assert rows(each, "item", "function", "value") == [("solto", None, 7), ("x", "Saúde", 10), ("y", "Saúde", 20), ("z", "Saúde", 5)]
+
+
+def test_structure(spark):
+    units = spark.createDataFrame([("1", "top", None, "Presidência", "órgão constitucional", True), ("2", "x", "1", "Gabinete", "autarquia", True), ("3", "x", "9", "Gabinete", None, True), ("9", "dep", "1", "Departamento", None, False), ("4", "y", "zz", "Solto", "autarquia", True)], "code string, id string, above string, name string, nature string, is_organ boolean")
+    curated = spark.createDataFrame([("top", "Presidência da República", None, ["PR"]), ("hand", "Só curado", "fundação", None)], "id string, name string, nature string, aliases array<string>")
+    got = ST.structure(units, curated, {"constitucional": 1, "autarquia": 1})
+    assert rows(got, "id", "name", "parent", "how", "ring", "depth", "origin") == [
+        ("hand", "Só curado", None, None, 3, 0, "curated"), ("top", "Presidência da República", None, None, 1, 0, "both"), ("x", "Gabinete – Presidência da República", "top", "direct", 2, 1, "generated"),
+        ("x-3", "Gabinete – Presidência da República", "top", "through unit", 3, 1, "generated"), ("y", "Solto", None, None, 1, 0, "generated"),
+    ]
+    terms = spark.createDataFrame([("u", "Ana", D(2010, 1, 1), D(2012, 1, 1)), ("u", "Ana", D(2012, 1, 10), D(2014, 1, 1)), ("u", "Rui", D(2016, 1, 1), D(2018, 1, 1))], "unit string, person string, start date, end date")
+    now = spark.createDataFrame([("u", "Eva", D(2018, 2, 1), None), ("u", "Rui", D(2016, 1, 1), D(2018, 1, 1))], terms.schema)
+    assert rows(ST.history(terms, now, D(2012, 6, 1)), "person", "start", "end", "spans", "missing_predecessor") == [("Ana", D(2010, 1, 1), D(2014, 1, 1), 2, True), ("Eva", D(2018, 2, 1), None, 1, False), ("Rui", D(2016, 1, 1), D(2018, 1, 1), 1, True)]
