@@ -87,6 +87,8 @@ class Lattice:
             so_far = alpha[begin]
             node, end = trie, begin
             spelled = False
+            if begin and text[begin] == SPACE:
+                node = {}  # no later piece begins with the mark: one in the word itself is spelled by bytes
             while end < n and (step := node.get(text[end])) is not None:
                 end += 1
                 node, p = step
@@ -116,7 +118,7 @@ class Lattice:
         share = [0.0] * n + [1.0]  # chance that a cut lies here
         for end in range(n, 0, -1):
             here = share[end]
-            if here > 1e-9:
+            if here:
                 for begin, p, piece in edges[end]:
                     x = here * exp(alpha[begin] + p - alpha[end])
                     share[begin] += x
@@ -344,7 +346,7 @@ def scored(docs: DataFrame, scores: dict[str, float], id_col: str = "doc_id", te
             added(m * (c[ids] > 0)).astype(np.int64) + (model.end > 0),
             added(m * np.log10((c + 0.5) / model.norm)[ids]) + model.base_end,
             model.texts(doc, ids, m, n_docs, model.logs(c, by_kind, spelling)) / math.log(10),
-            (added(m * pieces[ids]) + np.log(model.end_chance)) / math.log(10),
+            (added(m * (pieces[ids] + math.log1p(-model.end_chance))) + np.log(model.end_chance)) / math.log(10),
         ]
         return pa.table([left.column("doc_id"), left.column("held_out"), *map(pa.array, out)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "lattice_score"])
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lupaspark.llm.common import looked_up, written
+
 BLOCK_BITS = 512
 HASHES = 8
 BITS_A_KEY = 16
@@ -120,10 +122,12 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "
         keys.append(F.when(fits, F.concat(F.lit("r:"), suffix, F.lit("") if chars is None else F.substring("path", 1, chars))))
     urls = urls.withColumn("keys", F.array_compact(F.array(*keys)))
     hashes, mixed = F.transform("keys", lambda k: F.xxhash64(k)), F.transform("keys", lambda k: F.xxhash64(F.xxhash64(k)))
-    urls = urls.withColumn("maybe", check(hashes, mixed))
+    # Written once: the filter and its scan would run for each of the uses below.
+    urls = written(urls.select("page_id", "host", "path", F.when(check(hashes, mixed), F.col("keys")).alias("keys")), "urls")
 
-    possible = urls.where("maybe").drop("maybe")
-    asked = possible.select("host", "path", F.explode("keys").alias("key")).distinct()
+    possible = urls.where("keys is not null")
+    each = possible.groupBy("host", "path").agg(F.count("*").alias("n"), F.first("keys").alias("keys"))
+    asked = each.select("host", "path", F.explode("keys").alias("key"))
     by_rule = entries.where("key like 'r:%'")
     if rules.count() <= MAX_RULES:
         by_rule = F.broadcast(by_rule)
@@ -132,8 +136,10 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "
         met.where(F.startswith("path", "rule_path")).groupBy("host", "path")
         .agg(F.max(F.struct(F.col("rule").isNotNull().alias("by_rule"), F.coalesce(F.length("rule"), F.lit(0)).alias("chars"), "host_chars", "rule", "verdict")).alias("best"))
     )
-    judged = possible.join(found, ["host", "path"], "left").select("page_id", "host", "path", "best.rule", F.coalesce("best.verdict", F.lit("allow")).alias("verdict"), F.coalesce(~F.col("best.by_rule"), F.lit(False)).alias("listed"))
-    clear = urls.where("not maybe").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(False).alias("listed"))
+    told = each.join(found, ["host", "path"], "left").select("host", "path", "n", "best.rule", F.coalesce("best.verdict", F.lit("allow")).alias("verdict"), F.coalesce(~F.col("best.by_rule"), F.lit(False)).alias("listed"))
+    # A popular URL has many rows: looked up, they never meet in one task.
+    judged = looked_up(possible.select("page_id", "host", "path"), written(told, "urls-told"), ["host", "path"], "page_id")
+    clear = urls.where("keys is null").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(False).alias("listed"))
     return judged.unionByName(clear)
 
 

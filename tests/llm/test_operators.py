@@ -431,12 +431,25 @@ def test_toxicity_label_weights():
     assert toxicity.originals(np.array([5, 5, 0xFF << 40, 4, (1 << 40) - 1], dtype=np.uint64)).tolist() == [True, False, True, False, True]
 
 
-def longhand(pieces, text):
+def longhand(pieces, text, at_start=True):
     """Sum over all ways to cut text, written out."""
     if not text:
         return 1.0
-    total = sum(math.exp(p) * longhand(pieces, text[len(s) :]) for s, p in pieces.logp.items() if text.startswith(s))
-    return total if text[0] in pieces.logp else total + math.exp(pieces.byte * len(text[0].encode())) * longhand(pieces, text[1:])
+    total = sum(math.exp(p) * longhand(pieces, text[len(s) :], False) for s, p in pieces.logp.items() if text.startswith(s) and (at_start or s[0] != "▁"))
+    return total if text[0] in pieces.logp and (at_start or text[0] != "▁") else total + math.exp(pieces.byte * len(text[0].encode())) * longhand(pieces, text[1:], False)
+
+
+def test_chances_of_words_and_texts_sum_to_one():
+    """All words over three letters, the space mark among them, and all texts of such words: never over 1, and near it where the bytes' share is small."""
+    own = lattice.Lattice({"▁": -1.0, "▁a": -1.0, "▁▁": -2.0, "a": -1.0, "b": -1.0, "ab": -1.5, "▁ab": -2.0})
+    total, words = 0.0, [""]
+    for _ in range(9):
+        total += math.fsum(math.exp(own.log_chance(w)) for w in words)
+        words = [w + c for w in words for c in "ab▁"]
+    print(total)
+    assert 0.5 < total <= 1 + 1e-9
+    end = 0.3  # texts of words, each followed by no end, and then an end
+    assert sum((total * (1 - end)) ** n * end for n in range(200)) <= 1 + 1e-9
 
 
 def test_lm_scoring(spark):
@@ -486,7 +499,7 @@ def test_lm_scoring(spark):
     for i, t in rows:
         own = [*split(t), None]
         base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own)
-        pieces = (sum(math.log(known[w]["plain"]) for w in own[:-1]) + math.log(ends / n)) / math.log(10)
+        pieces = (sum(math.log(known[w]["plain"] * (1 - ends / n)) for w in own[:-1]) + math.log(ends / n)) / math.log(10)
         want.append((str(i), held(i), len(own), sum(counts[w] > 0 for w in own), n, round(base, 4), round(text_chance(own), 4), round(pieces, 4)))
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4), round(r.lattice_score, 4)) for r in got) == sorted(want)
     assert lattice.scored(docs(spark, []), scores).count() == 0
