@@ -43,15 +43,13 @@ def link_entities(texts: DataFrame, forms: DataFrame, most: int = 8, key_words:
     if not lengths:
         return texts.select("doc_id", F.lit(None).cast(dict(forms.dtypes)["id"]).alias("id"), F.lit("").alias("form"), F.lit(0).alias("first")).limit(0)
 
-    def runs_of(n: int) -> Column:
-        """Runs of n words; the words are bound once, not made anew for each run."""
-        runs = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
-        return F.element_at(F.transform(F.array(C.tokens(F.col("text"))), runs), 1)
-
-    runs = None
-    for n in sorted(lengths):
-        part = texts.select("doc_id", F.posexplode(runs_of(n)).alias("first", "key"))
-        runs = part if runs is None else runs.unionByName(part)
+    def runs(w: Column) -> Column:
+        """All runs of words that have a form's length; the words are bound once, not made anew for each length or run."""
+        of = lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(i.alias("first"), F.array_join(F.slice(w, i + 1, n), " ").alias("key"))))
+        return F.flatten(F.array_compact(F.array(*[of(n) for n in sorted(lengths)])))
+
+    every = F.element_at(F.transform(F.array(C.tokens(F.col("text"))), runs), 1)
+    runs = texts.select("doc_id", F.explode(every).alias("run")).select("doc_id", "run.first", "run.key")
     met = runs.join(known, "key")
     short = met.where(F.col("words") <= key_words).select("doc_id", "id", "form", "words", "first")
     long = met.where(F.col("words") > key_words).join(texts.select("doc_id", C.tokens(F.col("text")).alias("w")), "doc_id")
