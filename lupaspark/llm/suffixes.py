@@ -366,7 +366,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_bytes, spans, kept) of every row: spans are the runs of bytes taken out of the text in UTF-8, kept what is left of it.
 
     A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller doc_id; all is judged on the input. Null texts are empty. Texts under
-    `length` bytes stay whole. Rows without doc_id come after all others and are one document. Rows that repeat an id are one document, whose texts take nothing from each other.
+    `length` bytes stay whole. A task's memory is some fifteen times the larger of BLOCK and the longest text. Rows without doc_id come after all others and are one document. Rows that repeat an id are one document, whose texts take nothing from each other.
     """
     assert length >= 2 * PERIOD, "the cover sample needs strings of twice its period"
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))

@@ -68,33 +68,21 @@ class Terms:
         self.begins: dict[str, int | None] = {}
 
     def counts(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        met, at = self.met, self.at
+        met = self.met
         if len(met) > MEMO:
             met.clear()
             self.begins.clear()
         names, times = [], []
-        for word, n in Counter(words_of(text)).items():
-            own = met.get(word)
+        counted = Counter(words_of(text))
+        for word, n, own in zip(counted, counted.values(), map(met.get, counted)):
             if own is None:
                 met[word] = own = self._own(word)
-            names += own
-            times += [n] * len(own)
+            if own:  # most words of a text are no term
+                names += own
+                times += [n] * len(own)
         ids, where = np.unique(np.array(names, dtype=np.int64), return_inverse=True)
         return ids, np.bincount(where, weights=times, minlength=len(ids)).astype(np.int64)
 
-    def present(self, text: bytes | None) -> np.ndarray:
-        """The terms that a text has."""
-        met, names = self.met, []
-        if len(met) > MEMO:
-            met.clear()
-            self.begins.clear()
-        for word in {*words_of(text)}:
-            own = met.get(word)
-            if own is None:
-                met[word] = own = self._own(word)
-            names += own
-        return np.unique(np.array(names, dtype=np.int64))
-
     def _own(self, word: str) -> list[int]:
         if self.at is None:
             return [hashed(t) for t in terms_of(word)]
@@ -114,17 +102,20 @@ class Terms:
 
 
 class Scores:
-    """Scores of texts. Texts met before are remembered by a digest of 128 bits: copies cost nothing."""
+    """Scores of texts. Texts met before are remembered by their terms: copies cost nothing."""
 
     def __init__(self, index: Index, steps: tuple[np.ndarray, np.ndarray]) -> None:
         self.index, self.steps, self.terms, self.met = index, steps, Terms(index.vocabulary), {}
 
     def of(self, text: bytes | None) -> tuple[float, list[tuple[int, float, float]]]:
-        key = xxhash.xxh3_128_digest(text or b"")
+        return self.of_terms(*self.terms.counts(text))
+
+    def of_terms(self, ids: np.ndarray, n: np.ndarray) -> tuple[float, list[tuple[int, float, float]]]:
+        key = xxhash.xxh3_128_digest(ids.astype(np.int64).tobytes() + n.astype(np.int64).tobytes())
         if (got := self.met.get(key)) is None:
             if len(self.met) > TEXTS:
                 self.met.clear()
-            self.met[key] = got = self.index.score(*self.terms.counts(text), self.steps)
+            self.met[key] = got = self.index.score(ids, n, self.steps)
         return got
 
 
@@ -281,8 +272,8 @@ def originals(prints: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, tuple[np.ndarray, np.ndarray]]:
-    """The index, sent to the executors, and the steps of its calibration. Learns from labelled rows outside the held-out fold: at most MAX_EXAMPLES of each label, by
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, tuple[np.ndarray, np.ndarray], DataFrame]:
+    """The index, sent to the executors, the steps of its calibration, and (doc_id, ids, n): the terms of each row of docs, looked up once. Learns from labelled rows outside the held-out fold: at most MAX_EXAMPLES of each label, by
     hash of doc_id.
 
     Terms are the words and word beginnings of those examples, all of them. A term's weight is its idf, by document frequencies over all of docs, times
@@ -316,18 +307,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, tuple[np.ndarray
 
     sent_terms = spark.sparkContext.broadcast(vocabulary)
 
+    def looked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, kind = Terms(sent_terms.value), pa.list_(pa.int32())
+        for b in it:
+            got = [terms.counts(x.as_py()) for x in b.column(1)]
+            yield pa.record_batch([b.column(0), *[pa.array([g[k].astype(np.int32) for g in got], kind) for k in (0, 1)]], names=["doc_id", "ids", "n"])
+
     def frequencies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(sent_terms.value)
-        df, seen = np.zeros(len(sent_terms.value) + 1, dtype=np.int64), 0
+        df = np.zeros(len(sent_terms.value) + 1, dtype=np.int64)
         for b in it:
-            for x in b.column(0):
-                df[terms.present(x.as_py())] += 1
-            seen += b.num_rows
-        df[-1] = seen
+            df[:-1] += np.bincount(b.column(0).flatten().to_numpy(), minlength=len(df) - 1)
+            df[-1] += b.num_rows
         used = np.flatnonzero(df)
         yield pa.record_batch([pa.array(used, pa.int32()), pa.array(df[used])], names=["t", "n"])
 
-    found = docs.select(F.col("text").cast("binary")).mapInArrow(frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    rows_of = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(looked, "doc_id long, ids array<int>, n array<int>"), "toxicity-terms")
+    found = rows_of.select("ids").mapInArrow(frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(vocabulary) + 1)
     df[found.column("t").to_numpy()] = found.column("n").to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
@@ -342,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, tuple[np.ndarray
             yield pa.record_batch([pa.array(got, pa.float64()), b.column("toxic")], names=["vote", "toxic"])
 
     left_out = [tuple(r) for r in texts.mapInArrow(votes, "vote double, toxic int").where("vote is not null").collect()]  # as many as examples
-    return sent, index.calibrated(left_out)
+    return sent, index.calibrated(left_out), rows_of
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -352,17 +347,17 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     gets the share among such examples; without labels every score is 0. Rows may repeat; a null doc_id is not held out.
     Of labels(doc_id, toxic) rows with nulls are passed over, and of several for a document the highest counts. Other columns are not read.
     """
-    sent, steps = fit(docs, labels)
+    sent, steps, terms = fit(docs, labels)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(sent.value, steps)
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic_share", pa.float64())]))
         for b in it:
-            got = [scores.of(x.as_py()) for x in b.column(1)]
+            got = [scores.of_terms(ids.values.to_numpy(), n.values.to_numpy()) for ids, n in zip(b.column(1), b.column(2))]
             evidence = [[{"doc_id": d, "cosine": c, "toxic_share": s} for d, c, s in near] for _, near in got]
             yield pa.record_batch([b.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(batches, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, toxic_share: double>>")
+    out = terms.select("doc_id", "ids", "n").mapInArrow(batches, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, toxic_share: double>>")
     held = F.coalesce(fold("doc_id") == HELD_OUT, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
@@ -370,7 +365,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are not predicted toxic, columns as in docs. Each row is judged by its own text, where it lies: nothing is shuffled.
     Null and empty texts, repeated rows and rows without an id are judged like any other (see scored)."""
-    sent, steps = fit(docs, labels)
+    sent, steps, _ = fit(docs, labels)
 
     def toxic(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scores = Scores(sent.value, steps)
