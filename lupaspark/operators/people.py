@@ -47,14 +47,14 @@ def aligned_person(left: DataFrame, right: DataFrame, least_organ: float = 0.3)
     def firsts(side: DataFrame, key: str, w: str) -> DataFrame:
         """(key, first, other): the left name's first word beside each other word; on the right any word may be the first."""
         pos = F.posexplode(w).alias("i", "first")
-        return (side.select(key, w, F.lit(0).alias("i"), F.get(w, F.lit(0)).alias("first")) if w == "a" else side.select(key, w, pos)).select(key, "i", "first", F.posexplode(w).alias("j", "w")).where("i <> j").drop("j")
+        others = (F.size(w) - 1).alias("others")
+        return (side.select(key, w, F.lit(0).alias("i"), F.get(w, F.lit(0)).alias("first")) if w == "a" else side.select(key, w, pos)).select(key, "i", "first", others, F.posexplode(w).alias("j", "w")).where("i <> j").drop("j")
 
     met = None
     la, rb = firsts(a, "left_id", "a"), firsts(b, "right_id", "b")
     for mine, key, other in ((la, "left_id", rb), (rb, "right_id", la)):
         rank = F.row_number().over(Window.partitionBy(key, "i").orderBy("n", "w"))
-        others = F.count("*").over(Window.partitionBy(key, "i"))
-        rare = mine.distinct().join(every, "w").withColumns({"_r": rank, "_others": others}).where("_r <= if(_others > 2, 2, 1)").select(key, "first", F.explode(deletions(F.col("w"))).alias("k")).distinct()
+        rare = mine.distinct().join(every, "w").withColumn("_r", rank).where("_r <= if(others > 2, 2, 1)").select(key, "first", F.explode(deletions(F.col("w"))).alias("k")).distinct()
         pairs = rare.join(other.select([c for c in other.columns if c.endswith("_id")][0], "first", F.explode(deletions(F.col("w"))).alias("k")).distinct(), ["first", "k"]).select("left_id", "right_id")
         met = pairs if met is None else met.unionByName(pairs)
     alone = a.where(F.size("a") == 1).join(b.where(F.size("b") == 1), F.col("a") == F.col("b")).select("left_id", "right_id")

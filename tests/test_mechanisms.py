@@ -118,7 +118,7 @@ def test_aligned_person_is_exhaustive(spark):
     """Every pair that counts is met: the index against all pairs."""
     rng = random.Random(4)
     vocabulary = ["ana", "maria", "jose", "silva", "souza", "moraes", "morais", "pereira", "pereyra", "costa", "lima", "oliveira", "olivera", "reis"]
-    name = lambda: [rng.choice(vocabulary[:3])] + rng.sample(vocabulary[3:], rng.randint(1, 3))
+    name = lambda: [rng.choice(vocabulary[:3])] + rng.choices(vocabulary[3:], k=rng.randint(1, 3))  # noqa: E731  a word may come twice
     left, right = [(i, name(), rng.choice(["fazenda", "saude obras", None])) for i in range(60)], [(i, name(), rng.choice(["fazenda", "obras", None])) for i in range(80)]
     organ = lambda x, y: len(set((x or "").split()) & set((y or "").split())) / max(1, len(set((x or "").split()) | set((y or "").split())))
     want = {}
