@@ -228,6 +228,37 @@ def test_line_dedup(spark, most):
     assert linededup.without_repeats(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_edits_grow_with_the_line(spark):
+    """Without a bound: edits at the ends, in bursts and everywhere, lines to which 1 to 40 edits are allowed, just enough of them and one too many."""
+    rng = random.Random(11)
+    per, rows, places = 9, [], []
+    for size in [18, 20, 26, 27, 36, 53, 54, 61, 80, 99, 130, 161, 279]:
+        base = "".join(rng.choice("abcdefgh 日é😀") for _ in range(size))
+        for how in range(8):
+            line = list(base)
+            for n in range(max(1, size // per) + (how == 7)):
+                at = [rng.randrange(len(line)), 0, len(line) - 1, len(line) // 2, (n + 1) * len(line) // (size // per + 2), rng.randrange(len(line)), n * per % len(line), rng.randrange(len(line))][how]
+                line[at : at + (how != 1 and rng.randint(0, 1))] = rng.choice(["x", "y"] if how != 5 else ["x", "yx", ""])
+            places.append("".join(line))
+        places.append(base)
+    rng.shuffle(places)
+    rows = [(i, x) for i, x in enumerate(places)]
+    want = groups([(i, j) for i, a in rows for j, b in rows if i < j and min(len(a), len(b)) >= 18 and abs(len(a) - len(b)) <= 41 and edits(a, b) <= max(1, min(len(a), len(b)) // per)], range(len(rows)))
+    got = {r.doc_id: r.kept_doc for r in linededup.duplicate_lines(docs(spark, rows), min_chars=18, most=None, per=per).collect()}
+    assert got == {i: n for i, n in want.items() if i != n}
+
+
+def test_line_dedup_query_removes_lines_of_several_edits(spark):
+    """The query's own bound: one edit for 50 characters, whatever the length."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmn") for _ in range(7)) for _ in range(400)]
+    long, short = " ".join(words), " ".join(words[:14])
+    rows = [(1, long), (2, short), (3, long.replace("a", "z", 63)), (4, long[::-1]), (5, short[:30] + "zz" + short[32:]), (6, short[:60] + "zzz" + short[63:]), (7, long[::-1].replace("a", "z", 64)[::-1])]
+    assert (len(long), len(short)) == (3199, 111)
+    table = queries.op6_columns(docs(spark, rows).select("doc_id", "text"))
+    assert {r.doc_id for r in table.collect() if r.n_removed} == {3, 5}  # 63 of 63 edits and 2 of 2; 6 and 7 differ from all others by more
+
+
 def test_line_dedup_odd_cases(spark):
     """Columns that clash with names used inside, null and empty texts, negative and missing ids, a very long line, and the query's own columns."""
     long = "y" * 20_000
