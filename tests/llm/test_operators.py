@@ -259,6 +259,32 @@ def test_line_dedup_query_removes_lines_of_several_edits(spark):
     assert {r.doc_id for r in table.collect() if r.n_removed} == {3, 5}  # 63 of 63 edits and 2 of 2; 6 and 7 differ from all others by more
 
 
+def test_line_dedup_common_beginnings_make_few_pairs(spark, monkeypatch):
+    """Lines that share a long beginning and nothing else leave the joins in no pair; a near copy among them is found."""
+    rng = random.Random(13)
+    head = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    rows = [(i, head + "".join(rng.choice("HLDCUMBG") for _ in range(60))) for i in range(60)]
+    rows.append((60, rows[7][1][:80] + "zz" + rows[7][1][82:]))
+    made, plain = [], linededup.written
+
+    def counted(df, tag):
+        out = plain(df, tag)
+        made.extend([out.count()] if tag == "line-pairs" else [])
+        return out
+
+    monkeypatch.setattr(linededup, "written", counted)
+    got = {r.doc_id: r.kept_doc for r in linededup.duplicate_lines(docs(spark, rows).select("doc_id", "text")).collect()}
+    assert got == {60: 7} and 1 <= sum(made) < 20
+
+
+@pytest.mark.parametrize("per", [1, 9, 50])
+def test_line_dedup_classes_of_lengths(spark, per):
+    """A line and one that is longer by the edits allowed are of one class or of two that are neighbours."""
+    sizes = spark.range(1, 20_000).select(F.col("id").cast("int").alias("n")).select("n", (F.col("n") + linededup.allowed(F.col("n"), None, per)).alias("m"))
+    steps = sizes.select((linededup._class(F.col("m"), per) - linededup._class(F.col("n"), per)).alias("step"))
+    assert {r.step for r in steps.distinct().collect()} <= {0, 1}
+
+
 def test_line_dedup_odd_cases(spark):
     """Columns that clash with names used inside, null and empty texts, negative and missing ids, a very long line, and the query's own columns."""
     long = "y" * 20_000
