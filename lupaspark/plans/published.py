@@ -19,7 +19,7 @@ from lupaspark.operators import temporal as T
 from lupaspark.sources import sinks as K
 from lupaspark.session import scratch
 from lupaspark.plans.facts import FOLD, _forms, _norm
-from lupaspark.plans.mechanisms import _WORD, _word
+from lupaspark.plans.mechanisms import _WORD, _apart, _word
 from lupaspark.plans.registry import AS_OF, CONTRACTS, LOG, ORGANS, SANCTIONS, SPENDING, money, query
 
 
@@ -171,7 +171,7 @@ def w12_every_week(t):
 def _candidacies(t):
     """Two years of each customer: known by full name, by short name and state, with another birth, in another state, without a birth."""
     c, n, k = F.concat, F.col("c_custkey"), F.col("c_custkey") % 5
-    w = _word(n)
+    w = _apart(n)
     birth = F.make_date(F.lit(1950) + (n % 30).cast("int"), F.lit(1), F.lit(1))
     people = t.customer.select(n.alias("person_id"), c(F.lit("Ana "), w, F.lit(" Silva")).alias("name"), w.alias("short"), F.col("c_nationkey").alias("uf"), birth.alias("birth"))
     full = F.when(k.isin(0, 2, 4), c(F.lit("ANA "), F.upper(w), F.lit(" DA SILVA"))).otherwise(c(F.lit("Outra "), w, F.lit(" Pessoa")))
