@@ -43,3 +43,8 @@ def beside_sql(spark, tables, name):
 def test_people_of_large_keys(spark, tables):
     got, want = beside_sql(spark, tables, "d13_people")
     assert got == want and want
+
+
+def test_names_of_large_keys(spark, tables):
+    got, want = beside_sql(spark, tables, "j15_aligned_person")
+    assert got == want and want
