@@ -37,7 +37,12 @@ def assets_over_time(found: DataFrame, assets: DataFrame, prices: DataFrame, bas
     sums = once.join(assets.groupBy("cand_id").agg(F.sum("value").alias("value")), "cand_id").join(prices, "year", "left")
     real = F.try_divide(F.col("value").cast("double") * base, F.col("idx"))
     ends = sums.groupBy("person_id").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.min_by("value", "year").alias("first"), F.max_by("value", "year").alias("last"), F.min_by(real, "year").alias("_r0"), F.max_by(real, "year").alias("_r1"))
-    pct = lambda a, b: F.bround(F.try_divide((b - a) * 100, a), 1)
+
+    def pct(a, b):
+        """Rounded, with its sign: a loss too small to show is -0.0, as in SQL."""
+        change = F.try_divide((b - a) * 100, a)
+        return F.signum(change) * F.abs(F.bround(change, 1))
+
     return ends.select("person_id", "first_year", "last_year", "first", "last", pct(F.col("first").cast("double"), F.col("last").cast("double")).alias("nominal_pct"), pct(F.col("_r0"), F.col("_r1")).alias("real_pct"))
 
 
