@@ -54,3 +54,8 @@ def test_assets_of_large_keys(spark, tables):
     """The first customer of all loses a ten thousandth, which rounds to nothing below zero."""
     got, want = beside_sql(spark, tables, "d13_assets")
     assert repr(got) == repr(want) and "-0.0" in repr(want)
+
+
+def test_donors_of_large_keys(spark, tables):
+    got, want = beside_sql(spark, tables, "d13_donors")
+    assert got == want and want
