@@ -10,6 +10,7 @@ from lupaspark.operators import aggregates as A
 from lupaspark.operators import filters as P
 from lupaspark.operators import people as J
 from lupaspark.operators import text as X
+from lupaspark.session import grows
 
 
 def encounters(events: DataFrame, holders: DataFrame, siglas: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -21,13 +22,13 @@ def encounters(events: DataFrame, holders: DataFrame, siglas: list[str]) -> tupl
     # Names resolve once each, with their organ, however many events they have.
     asked = events.select(F.struct("host", "organ").alias("left_id"), F.col("host").alias("name"), "organ", F.lit(False).alias("is_head")).distinct()
     known = holders.select(F.col("left_id").alias("right_id"), "name", "organ", F.lit(None).cast("date").alias("ended"), F.col("is_head").alias("is_top"), F.lit(True).alias("titular"), F.lit(None).cast("date").alias("start"))
-    found = events.select("event_id", F.struct("host", "organ").alias("left_id")).join(J.aligned_person(asked, known), "left_id")
+    found = events.select("event_id", F.struct("host", "organ").alias("left_id")).join(grows(J.aligned_person(asked, known)), "left_id")
     met = found.where("right_id is not null").select("event_id", F.col("right_id").alias("person"))
     outside = X.participants(events.select("event_id", "html")).where("side = 'private' and entity is not null").select("event_id", "entity")
-    rows = met.join(outside, "event_id").join(events.select("event_id", "organ"), "event_id")
+    rows = met.join(grows(outside), "event_id").join(grows(events.select("event_id", "organ")), "event_id")
     rows = P.external_only(rows, "entity", "organ").withColumn("entity_key", X.entity_key(F.col("entity")))
     spelled = A.preferred_spelling(rows, "entity_key", "entity").select("entity_key", F.col("entity").alias("_spelled"))
-    out = rows.join(spelled, "entity_key").withColumn("class", F.coalesce(C.interest_marker(F.col("_spelled"), siglas), F.lit("none")))
+    out = rows.join(grows(spelled), "entity_key").withColumn("class", F.coalesce(C.interest_marker(F.col("_spelled"), siglas), F.lit("none")))
     return out.select("event_id", "person", "entity_key", F.col("_spelled").alias("entity"), "class"), found.where("right_id is null").groupBy("reason").agg(F.count("*").alias("n"))
 
 

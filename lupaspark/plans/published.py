@@ -17,9 +17,9 @@ from lupaspark.operators import aggregates as A
 from lupaspark.operators import graph as G
 from lupaspark.operators import temporal as T
 from lupaspark.sources import sinks as K
-from lupaspark.session import scratch
+from lupaspark.session import grows, scratch
 from lupaspark.plans.facts import FOLD, _forms, _norm
-from lupaspark.plans.mechanisms import _WORD, _apart, _word
+from lupaspark.plans.mechanisms import _WORD, _apart, _misspelt, _word
 from lupaspark.plans.registry import AS_OF, CONTRACTS, LOG, ORGANS, SANCTIONS, SPENDING, money, query
 
 
@@ -103,13 +103,13 @@ def d6_resolution(t):
 
 def _meetings(t):
     """An event for each order: hosts named rightly, with a letter wrong or not at all; outsiders of several kinds, the organ itself among them."""
-    c, k, w = F.concat, F.col("o_orderkey") % 5, _word(F.col("o_custkey"))
-    people = t.customer.select(F.col("c_custkey").alias("o_custkey"), c(F.lit("Secretaria "), F.lower("c_mktsegment"), F.lit(" "), _word(F.col("c_custkey"))).alias("organ"))
-    host = F.when(F.col("o_orderkey") % 3 == 0, c(F.lit("ANA "), F.upper(w), F.lit(" SILVA"))).when(F.col("o_orderkey") % 3 == 1, c(F.lit("Ana "), F.substring(w, 1, 7), F.lit("z Silva"))).otherwise(c(F.lit("Eva "), w, F.lit(" Silva")))
+    c, k, w = F.concat, F.col("o_orderkey") % 5, _apart(F.col("o_custkey"))
+    people = t.customer.select(F.col("c_custkey").alias("o_custkey"), c(F.lit("Secretaria "), F.lower("c_mktsegment"), F.lit(" "), _apart(F.col("c_custkey"))).alias("organ"))
+    host = F.when(F.col("o_orderkey") % 3 == 0, c(F.lit("ANA "), F.upper(w), F.lit(" SILVA"))).when(F.col("o_orderkey") % 3 == 1, c(F.lit("Ana "), _misspelt(w), F.lit(" Silva"))).otherwise(c(F.lit("Eva "), w, F.lit(" Silva")))
     entity = F.when(k == 0, F.lit("Costa Advogados Associados")).when(k == 1, F.lit("SINDP - Sindicato dos Portos")).when((k == 2) & (F.col("o_orderkey") % 2 == 0), F.lit("SINDP - Sind. dos Portos")).when(k == 2, F.lit("Portos e Obras Ltda")).when(k == 3, F.col("organ")).otherwise("Prefeitura de Lagoa")
     html = c(F.lit("<p>Agentes públicos:</p><p>Ana (ministra) - MF</p><p>Agentes privados</p><p>Rui Reis (diretor) - "), entity, F.lit("</p>"))
-    events = t.orders.join(people, "o_custkey").select(F.col("o_orderkey").alias("event_id"), host.alias("host"), "organ", html.alias("html"))
-    holders = people.select(F.col("o_custkey").alias("left_id"), c(F.lit("Ana "), _word(F.col("o_custkey")), F.lit(" Silva")).alias("name"), "organ", F.lit(True).alias("is_head"))
+    events = t.orders.join(grows(people), "o_custkey").select(F.col("o_orderkey").alias("event_id"), host.alias("host"), "organ", html.alias("html"))
+    holders = people.select(F.col("o_custkey").alias("left_id"), c(F.lit("Ana "), _apart(F.col("o_custkey")), F.lit(" Silva")).alias("name"), "organ", F.lit(True).alias("is_head"))
     return events, holders
 
 

@@ -7,7 +7,7 @@ from lupaspark import plans
 SF = "/root/testdata/sf0.1"
 
 
-@pytest.mark.parametrize("name", ["j34_rule_claims"])
+@pytest.mark.parametrize("name", ["j34_rule_claims", "d15_unknown_hosts", "d15_received", "j15_aligned_person"])
 def test_growing_tables_are_not_broadcast(spark, name):
     plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
