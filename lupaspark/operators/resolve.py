@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lupaspark.functions import columns as C
+from lupaspark.session import grows
 
 
 def code_join(facts: DataFrame, dim: DataFrame, on: str) -> DataFrame:
@@ -240,12 +241,21 @@ def symmetric_terms(acts: DataFrame, targets: DataFrame, optional: list[str]) ->
 
 
 def abbrev_match(names: DataFrame, orgs: DataFrame) -> DataFrame:
-    """(raw, org): the organ whose words the raw name's words begin, in order; the shortest such name, none on a tie."""
-    a = names.select("raw", F.filter(C.tokens(F.col("raw")), lambda t: ~t.isin(C.CONNECTIVES)).alias("a")).where(F.size("a") > 0)
+    """(raw, org): the organ whose words the raw name's words begin, in order; the shortest such name, none on a tie.
+
+    Each word of the raw name begins one of the organ's, so that they meet by the raw name's rarest word among the beginnings of the organs' words (and the first letters of both names), not
+    by what all names have in common.
+    """
+    a = names.select("raw").distinct().select("raw", F.filter(C.tokens(F.col("raw")), lambda t: ~t.isin(C.CONNECTIVES)).alias("a")).where(F.size("a") > 0)
     b = orgs.select("org", F.filter(C.tokens(F.col("name")), lambda t: ~t.isin(C.CONNECTIVES)).alias("b"), F.length("name").alias("chars"))
     block = lambda c: F.get(c, F.lit(0)).substr(1, 3)
     walk = F.aggregate("b", F.lit(0), lambda i, t: F.when((i < F.size("a")) & F.startswith(t, F.get("a", i)), i + 1).otherwise(i))
-    hits = a.withColumn("k", block("a")).join(b.withColumn("k", block("b")), "k").where(walk == F.size("a"))
+    begins = F.array_distinct(F.flatten(F.transform("b", lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda n: F.substring(t, F.lit(1), n)))))
+    known = b.select("org", "b", "chars", block("b").alias("k"), F.explode(begins).alias("w"))
+    often = known.groupBy("k", "w").agg(F.count("*").alias("often"))
+    asked = a.select("raw", "a", block("a").alias("k"), F.explode(F.array_distinct("a")).alias("w")).join(grows(often), ["k", "w"], "left")
+    rarest = asked.groupBy("raw", "a", "k").agg(F.min_by("w", F.struct(F.coalesce("often", F.lit(0)), "w")).alias("w"))
+    hits = rarest.join(grows(known), ["k", "w"]).where(walk == F.size("a"))
     ranked = hits.withColumn("_r", F.rank().over(Window.partitionBy("raw").orderBy("chars"))).where("_r = 1")
     return ranked.groupBy("raw").agg(F.min("org").alias("org"), F.count("*").alias("n")).where("n = 1").drop("n")
 

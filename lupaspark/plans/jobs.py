@@ -17,6 +17,7 @@ from lupaspark.operators import resolve as R
 from lupaspark.operators import temporal as T
 from lupaspark.operators import text as X
 from lupaspark.plans.registry import AS_OF, CONTRACTS, LOG, ORGANS, PEOPLE, PROGRAMS, SANCTIONS, SPENDING, money, query
+from lupaspark.session import grows
 
 LETTERS = ("0123456789", "bcdfghjklm")
 
@@ -251,7 +252,7 @@ def j20_symmetric_terms(t):
 def j21_abbrev_match(t):
     s = t.supplier.select(F.col("s_suppkey").alias("org"), F.concat(F.lit("Ministerio "), _word("s_suppkey"), F.lit("zq Nacional")).alias("name"), F.concat(F.lit("Min "), _word("s_suppkey"), F.lit("zq")).alias("raw"))
     got = R.abbrev_match(s.select("raw"), s.select("org", "name"))
-    return s.select(F.col("org").alias("raw_id"), "raw").join(got, "raw").select("raw_id", "org")
+    return s.select(F.col("org").alias("raw_id"), "raw").join(grows(got), "raw").select("raw_id", "org")
 
 
 @query("SELECT c_custkey, CASE WHEN n = 1 THEN id END AS canonical_id FROM customer LEFT JOIN (SELECT floor(c_acctbal) AS k, min(c_custkey) AS id, count(*) AS n FROM customer GROUP BY 1) ON k = floor(c_acctbal)")
