@@ -327,7 +327,7 @@ def html_lines(page: Column) -> Column:
     shown = F.regexp_replace(page, rf"(?is)<({'|'.join(HIDDEN)})\b.*?</\1\s*>|<!--.*?-->", "")
     blocks = F.split(shown, rf"(?i)</?(?:{'|'.join(BLOCKS)})(?=[\s/>])[^>]*>|[\r\n]+")
     text = F.array_join(F.transform(blocks, lambda x: F.regexp_replace(x, "<[^>]*>", " ")), "\n")
-    entity = text.contains("&")
+    entity = page.contains("&")  # of the page as given, not of what all these steps would have to make twice
     text = F.when(entity, unescaped(F.when(entity, text))).otherwise(text)
     blank, mark = r"[\s\p{Z}\p{Cf}\x{3164}]", r"[\s\p{Sm}\p{So}\x{2022}\x{b7}*]"
     clean = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, f"{blank}+", " "), r"[\p{Pd}\x{2212}]", "-"), f"^{mark}+|{mark}+$", "")

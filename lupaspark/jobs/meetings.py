@@ -24,8 +24,11 @@ def encounters(events: DataFrame, holders: DataFrame, siglas: list[str]) -> tupl
     known = holders.select(F.col("left_id").alias("right_id"), "name", "organ", F.lit(None).cast("date").alias("ended"), F.col("is_head").alias("is_top"), F.lit(True).alias("titular"), F.lit(None).cast("date").alias("start"))
     found = events.select("event_id", F.struct("host", "organ").alias("left_id")).join(grows(J.aligned_person(asked, known)), "left_id")
     met = found.where("right_id is not null").select("event_id", F.col("right_id").alias("person"))
-    outside = X.participants(events.select("event_id", "html")).where("side = 'private' and entity is not null").select("event_id", "entity")
-    rows = met.join(grows(outside), "event_id").join(grows(events.select("event_id", "organ")), "event_id")
+    # So do pages, which several events may share; they meet by their digest.
+    page = F.sha2("html", 256)
+    pages = events.groupBy(page.alias("event_id")).agg(F.first("html").alias("html"))
+    outside = X.participants(pages).where("side = 'private' and entity is not null").select(F.col("event_id").alias("page"), "entity")
+    rows = met.join(grows(events.select("event_id", "organ", page.alias("page"))), "event_id").join(grows(outside), "page")
     rows = P.external_only(rows, "entity", "organ").withColumn("entity_key", X.entity_key(F.col("entity")))
     spelled = A.preferred_spelling(rows, "entity_key", "entity").select("entity_key", F.col("entity").alias("_spelled"))
     out = rows.join(grows(spelled), "entity_key").withColumn("class", F.coalesce(C.interest_marker(F.col("_spelled"), siglas), F.lit("none")))
